@@ -3,7 +3,9 @@
 Each view exists twice: as a Spark DataFrame and as the SQL that other engines run.
 """
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from strandline.operators.reads import split_pairs
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 BASES = "ACGTACGTACGTACGTACGTACGTAC"
@@ -66,8 +68,10 @@ _READS = f"""
         SELECT lang AS sample_id,
                CAST(doc_id AS VARCHAR) || '_' || CAST(i AS VARCHAR) AS read_id,
                CAST(1 AS TINYINT) AS mate,
-               substr(seq, CAST(i * {READ_LENGTH} + 1 AS INTEGER), {READ_LENGTH}) AS seq,
-               substr(qual, CAST(i * {READ_LENGTH} + 1 AS INTEGER), {READ_LENGTH}) AS qual,
+               CAST(substr(seq, CAST(i * {READ_LENGTH} + 1 AS INTEGER), {READ_LENGTH})
+                    AS VARCHAR) AS seq,
+               CAST(substr(qual, CAST(i * {READ_LENGTH} + 1 AS INTEGER), {READ_LENGTH})
+                    AS VARCHAR) AS qual,
                CAST(doc_id * 1000000 + i AS BIGINT) AS ordinal
         FROM ({{numbered}})"""
 
@@ -86,10 +90,12 @@ _PAIRS = f"""
                reverse(substr(insert_qual, length(insert_qual) - {READ_LENGTH - 1},
                               {READ_LENGTH})) AS qual2
         FROM (SELECT doc_id, lang, i, CAST((13 * i + doc_id) % {READ_LENGTH} AS INTEGER) AS err,
-                     substr(seq, CAST(i * {PAIR_STRIDE} + 1 AS INTEGER),
-                            CAST(100 + (7 * doc_id + 13 * i) % 120 AS INTEGER)) AS insert_seq,
-                     substr(qual, CAST(i * {PAIR_STRIDE} + 1 AS INTEGER),
-                            CAST(100 + (7 * doc_id + 13 * i) % 120 AS INTEGER)) AS insert_qual
+                     CAST(substr(seq, CAST(i * {PAIR_STRIDE} + 1 AS INTEGER),
+                                 CAST(100 + (7 * doc_id + 13 * i) % 120 AS INTEGER))
+                          AS VARCHAR) AS insert_seq,
+                     CAST(substr(qual, CAST(i * {PAIR_STRIDE} + 1 AS INTEGER),
+                                 CAST(100 + (7 * doc_id + 13 * i) % 120 AS INTEGER))
+                          AS VARCHAR) AS insert_qual
               FROM ({{numbered}}))"""
 
 _MATES = """
@@ -103,12 +109,13 @@ _MATES = """
 def _number(count: str, spark: bool) -> str:
     """Rows of ``sequences`` repeated for i = 0 .. count - 1."""
     if spark:
-        rows = f"explode(sequence(0L, cast({count} as bigint) - 1))"
-    else:
-        rows = f"unnest(range(CAST({count} AS BIGINT)))"
-    return (
-        f"SELECT doc_id, lang, seq, qual, {rows} AS i FROM sequences WHERE {count} > 0"
-    )
+        # Binary, as a slice of a Spark string costs time in its position.
+        return f"""SELECT doc_id, lang, seq, qual,
+                          explode(slice(sequence(0L, bigint({count})), 1, int({count}))) AS i
+                   FROM (SELECT doc_id, lang, CAST(seq AS BINARY) AS seq,
+                                CAST(qual AS BINARY) AS qual FROM sequences)"""
+    return f"""SELECT doc_id, lang, seq, qual,
+                      unnest(range(CAST({count} AS BIGINT))) AS i FROM sequences"""
 
 
 def view_sql(name: str, spark: bool = False) -> str:
@@ -154,6 +161,10 @@ def with_views(query: str, *names: str) -> str:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One view as a DataFrame over the parquet tables in ``sf_dir``."""
+    if name == "mates":
+        return split_pairs(view(spark, sf_dir, "read_pairs")).select(
+            "sample_id", "read_id", "mate", "seq", "qual"
+        )
     needed = (*DEPENDENCIES.get(name, ()), name)
     parts = []
     for each in needed:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandline import testbed
 from strandline.operators import accounting, alignments, depth, placement, reads
+from strandline.plans.storage import stored
 from strandline.sources import manifest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -285,21 +286,25 @@ def duplication_rate(spark, sf_dir):
     )
 
 
-# Placement
+# Placement, over stored reads and contigs as in a staged run
+
+
+def _stored_view(spark, sf_dir, name):
+    return stored(testbed.view(spark, sf_dir, name), name)
 
 
 @query
 def exact_placement(spark, sf_dir):
     return placement.exact_placement(
-        testbed.view(spark, sf_dir, "reads"), testbed.view(spark, sf_dir, "contigs")
+        _stored_view(spark, sf_dir, "reads"), _stored_view(spark, sf_dir, "contigs")
     )
 
 
 @query
 def approx_placement(spark, sf_dir):
     return placement.approximate_placement(
-        testbed.view(spark, sf_dir, "mates"),
-        testbed.view(spark, sf_dir, "contigs"),
+        _stored_view(spark, sf_dir, "mates"),
+        _stored_view(spark, sf_dir, "contigs"),
         MAX_MISMATCHES,
         k=SEED,
     ).drop("best")
@@ -308,8 +313,8 @@ def approx_placement(spark, sf_dir):
 @query
 def best_placement(spark, sf_dir):
     return placement.best_placement(
-        testbed.view(spark, sf_dir, "mates"),
-        testbed.view(spark, sf_dir, "contigs"),
+        _stored_view(spark, sf_dir, "mates"),
+        _stored_view(spark, sf_dir, "contigs"),
         MAX_MISMATCHES,
         k=SEED,
     )
