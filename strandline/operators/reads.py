@@ -141,16 +141,39 @@ def cycle_profile(reads: DataFrame) -> DataFrame:
 
 def mate_join(reads: DataFrame) -> DataFrame:
     """One row per pair: both mates matched on sample and read id."""
+    mate = F.col("mate")
+    return join_mates(reads.filter(mate == 1), reads.filter(mate == 2))
 
-    def side(mate: int) -> DataFrame:
-        return reads.filter(F.col("mate") == mate).select(
-            "sample_id",
-            "read_id",
-            F.col("seq").alias(f"seq{mate}"),
-            F.col("qual").alias(f"qual{mate}"),
-        )
 
-    return side(1).join(side(2), ["sample_id", "read_id"])
+def join_mates(first: DataFrame, second: DataFrame) -> DataFrame:
+    return _side(first, 1).join(_side(second, 2), ["sample_id", "read_id"])
+
+
+def join_mates_checked(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Like ``join_mates``, but what cannot be paired stays, with ``error`` set.
+
+    That is malformed records, which have no read id, and reads without a mate.
+    """
+    joined = _side(first, 1, "error").join(
+        _side(second, 2, "error"), ["sample_id", "read_id"], "full"
+    )
+    alone = F.col("seq1").isNull() | F.col("seq2").isNull()
+    return joined.withColumn(
+        "error",
+        F.coalesce(
+            "error1",
+            "error2",
+            F.when(alone, F.concat(F.lit("read without mate: "), "read_id")),
+        ),
+    ).drop("error1", "error2")
+
+
+def _side(reads: DataFrame, mate: int, *extra: str) -> DataFrame:
+    return reads.select(
+        "sample_id",
+        "read_id",
+        *[F.col(name).alias(f"{name}{mate}") for name in ("seq", "qual", *extra)],
+    )
 
 
 def split_pairs(pairs: DataFrame) -> DataFrame:

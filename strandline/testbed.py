@@ -3,7 +3,7 @@
 Each view exists twice: as a Spark DataFrame and as the SQL that other engines run.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandline.operators.reads import split_pairs
 
@@ -46,13 +46,13 @@ SQL_VIEWS = {
                      regexp_replace(lower(text), '[^a-z]', ''{{global}}) AS letters
               FROM documents)""",
     "contigs": """
-        SELECT CAST(doc_id AS VARCHAR) AS chrom, CAST(doc_id AS INTEGER) AS chrom_idx,
+        SELECT CAST(doc_id AS VARCHAR) AS chrom, CAST(doc_id AS BIGINT) AS chrom_idx,
                CAST(length(seq) AS BIGINT) AS length, seq
         FROM sequences""",
     "chrom_sizes": """
         SELECT 'chr' || CAST(r_regionkey * 2 AS VARCHAR) AS chrom,
                CAST(40000 + r_regionkey * 25000 AS BIGINT) AS length,
-               CAST(r_regionkey AS INTEGER) AS chrom_idx
+               CAST(r_regionkey AS BIGINT) AS chrom_idx
         FROM region""",
     "ledger": """
         SELECT CAST(o_orderkey AS VARCHAR) AS sample_id, o_orderpriority AS stage,
@@ -187,3 +187,22 @@ def spread(table: DataFrame) -> DataFrame:
     if table.rdd.getNumPartitions() >= slots:
         return table
     return table.repartition(slots)
+
+
+def write_fasta(contigs: DataFrame, path: str, width: int = 60) -> None:
+    """Contigs as FASTA text; each file has its contigs in order."""
+    wrapped = F.regexp_replace("seq", f"(.{{{width}}})(?=.)", "$1\n")
+    (
+        contigs.select(F.concat(F.lit(">"), "chrom", F.lit("\n"), wrapped).alias("value"))
+        .write.mode("overwrite")
+        .text(path)
+    )
+
+
+def write_fai(sizes: DataFrame, path: str) -> None:
+    (
+        sizes.orderBy("chrom_idx")
+        .select(F.concat_ws("\t", "chrom", F.col("length").cast("string")).alias("value"))
+        .write.mode("overwrite")
+        .text(path)
+    )

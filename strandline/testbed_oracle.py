@@ -36,6 +36,19 @@ def _windows(width: int) -> str:
               FROM depth)"""
 
 
+_DEPTH_STATS = """
+        SELECT sample_id, CAST(count(*) AS BIGINT) AS total_regions,
+               round(avg(depth), 6) AS mean_coverage,
+               round(median(depth), 6) AS median_coverage,
+               max(depth) AS max_coverage, min(depth) AS min_coverage,
+               round(stddev_samp(depth), 6) AS std_coverage,
+               CAST(sum(depth) AS BIGINT) AS total_bases_covered,
+               CAST(count(*) FILTER (WHERE depth > 0) AS BIGINT) AS bases_with_coverage,
+               CAST(sum("end" - "start") AS BIGINT) AS covered_bases,
+               round(CAST(sum(depth * ("end" - "start")) AS DOUBLE)
+                     / CAST(sum("end" - "start") AS DOUBLE), 6) AS weighted_mean_depth
+        FROM depth GROUP BY sample_id"""
+
 _FLAG_FIGURES = {
     "total_reads": "true",
     "mapped_reads": "flag & 4 = 0",
@@ -152,18 +165,7 @@ def _over_placed(select: str) -> str:
 ORACLE: dict[str, str] = {
     "depth_intervals": _over_depth("SELECT * FROM depth"),
     "bed_sort": _over_depth('SELECT * FROM depth ORDER BY sample_id, chrom, "start"'),
-    "depth_stats": _over_depth("""
-        SELECT sample_id, CAST(count(*) AS BIGINT) AS total_regions,
-               round(avg(depth), 6) AS mean_coverage,
-               round(median(depth), 6) AS median_coverage,
-               max(depth) AS max_coverage, min(depth) AS min_coverage,
-               round(stddev_samp(depth), 6) AS std_coverage,
-               CAST(sum(depth) AS BIGINT) AS total_bases_covered,
-               CAST(count(*) FILTER (WHERE depth > 0) AS BIGINT) AS bases_with_coverage,
-               CAST(sum("end" - "start") AS BIGINT) AS covered_bases,
-               round(CAST(sum(depth * ("end" - "start")) AS DOUBLE)
-                     / CAST(sum("end" - "start") AS DOUBLE), 6) AS weighted_mean_depth
-        FROM depth GROUP BY sample_id"""),
+    "depth_stats": _over_depth(_DEPTH_STATS),
     "depth_stats_filled": _over_depth("""
         SELECT s.sample_id, CAST(count(depth) AS BIGINT) AS total_regions,
                CAST(coalesce(sum(depth), 0) AS BIGINT) AS total_bases_covered,
@@ -492,4 +494,66 @@ ORACLE: dict[str, str] = {
     "successful_samples": with_views(
         "SELECT * FROM ledger WHERE status = 'success'", "ledger"
     ),
+    "fastq_round_trip": with_views(
+        "SELECT *, CAST(NULL AS VARCHAR) AS error FROM mates", "mates"
+    ),
+    "sam_round_trip": with_views(
+        """SELECT sample_id, qname, flag, chrom, pos0, mapq, cigar, rnext,
+               pos0 + 7 AS pnext0, seq, 'i:' || seq AS nm FROM alignments""",
+        "alignments",
+    ),
+    "alignment_store_region": with_views(
+        f"""SELECT {_RECORD} FROM alignments
+        WHERE chrom = 'chr2' AND pos0 >= 200 AND pos0 < 6000""",
+        "alignments",
+    ),
+    "bedgraph_round_trip": _over_depth("SELECT * FROM depth"),
+    "fasta_round_trip": with_views("SELECT chrom, length, seq FROM contigs", "contigs"),
+    "fai_round_trip": with_views("SELECT chrom, length FROM contigs", "contigs"),
 }
+ORACLE["signal_store_level"] = (
+    f"SELECT * FROM ({ORACLE['signal_levels']}) WHERE chrom = 'chr3' AND level = 2"
+)
+ORACLE["placed_depth_stats"] = _over_placed(f""", alignments AS (
+    SELECT sample_id, chrom, CAST(pos0 AS BIGINT) AS pos0, length(mates.seq) AS span,
+           0 AS flag
+    FROM mates JOIN ranked ON ranked.seq = mates.seq AND ranked.r = 1),
+{_DEPTH.strip()}
+{_DEPTH_STATS}""")
+ORACLE["placed_flagstat"] = _over_placed("""
+, best AS (
+    SELECT sample_id, read_id, mate, length(m.seq) AS size, chrom, pos0, strand,
+           CASE WHEN mm IS NULL THEN 0
+                WHEN (CASE mm WHEN 0 THEN hits_0 WHEN 1 THEN hits_1 ELSE hits_2 END) > 1 THEN 0
+                WHEN mm < 1 AND hits_1 > 0 THEN 10
+                WHEN mm < 2 AND hits_2 > 0 THEN (2 - mm) * 10
+                ELSE 60 END AS mapq
+    FROM mates m LEFT JOIN summed USING (seq)
+    LEFT JOIN (SELECT * FROM ranked WHERE r = 1) USING (seq)),
+ends AS (
+    SELECT a.sample_id, a.chrom, b.chrom AS other, a.mapq,
+           a.chrom = b.chrom AND a.strand <> b.strand
+           AND CASE WHEN a.strand = '+' THEN a.pos0 ELSE b.pos0 END
+               < CASE WHEN a.strand = '+' THEN b.pos0 + b.size ELSE a.pos0 + a.size END
+           AND greatest(a.pos0 + a.size, b.pos0 + b.size) - least(a.pos0, b.pos0) <= 1000
+               AS proper
+    FROM best a JOIN best b
+        ON a.sample_id = b.sample_id AND a.read_id = b.read_id AND a.mate <> b.mate)
+SELECT sample_id, CAST(count(*) AS BIGINT) AS total_reads,
+       CAST(count(chrom) AS BIGINT) AS mapped_reads,
+       CAST(count(*) AS BIGINT) AS paired_reads,
+       CAST(count(*) FILTER (WHERE proper) AS BIGINT) AS properly_paired,
+       CAST(count(*) FILTER (WHERE chrom IS NOT NULL AND other IS NOT NULL) AS BIGINT)
+           AS both_mapped,
+       CAST(count(*) FILTER (WHERE chrom IS NOT NULL AND other IS NULL) AS BIGINT)
+           AS singletons,
+       CAST(count(*) FILTER (WHERE chrom <> other) AS BIGINT) AS different_chr,
+       CAST(count(*) FILTER (WHERE chrom <> other AND mapq >= 5) AS BIGINT)
+           AS different_chr_mapq5,
+       """ + ", ".join(
+    f"CAST(0 AS BIGINT) AS {name}_qc_failed" for name in _FLAG_FIGURES
+) + """,
+       round(100.0 * CAST(count(chrom) AS DOUBLE) / CAST(count(*) AS DOUBLE), 6)
+           AS mapping_rate
+FROM ends GROUP BY sample_id""")
+ORACLE["flagstat_reports"] = ORACLE["flagstat"]

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandline import testbed
 from strandline.operators import accounting, alignments, depth, placement, reads
-from strandline.plans.storage import stored
-from strandline.sources import manifest
+from strandline.plans.storage import scratch_path, stored
+from strandline.schemas import ALIGNMENTS
+from strandline.sources import fasta, fastq, manifest, sam, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -293,10 +294,14 @@ def _stored_view(spark, sf_dir, name):
     return stored(testbed.view(spark, sf_dir, name), name)
 
 
+def _tiles(spark, sf_dir):
+    return placement.reference_tiles(_stored_view(spark, sf_dir, "contigs"))
+
+
 @query
 def exact_placement(spark, sf_dir):
     return placement.exact_placement(
-        _stored_view(spark, sf_dir, "reads"), _stored_view(spark, sf_dir, "contigs")
+        _stored_view(spark, sf_dir, "reads"), _tiles(spark, sf_dir)
     )
 
 
@@ -304,7 +309,7 @@ def exact_placement(spark, sf_dir):
 def approx_placement(spark, sf_dir):
     return placement.approximate_placement(
         _stored_view(spark, sf_dir, "mates"),
-        _stored_view(spark, sf_dir, "contigs"),
+        _tiles(spark, sf_dir),
         MAX_MISMATCHES,
         k=SEED,
     ).drop("best")
@@ -314,7 +319,7 @@ def approx_placement(spark, sf_dir):
 def best_placement(spark, sf_dir):
     return placement.best_placement(
         _stored_view(spark, sf_dir, "mates"),
-        _stored_view(spark, sf_dir, "contigs"),
+        _tiles(spark, sf_dir),
         MAX_MISMATCHES,
         k=SEED,
     )
@@ -336,3 +341,109 @@ def status_breakdown(spark, sf_dir):
 @query
 def successful_samples(spark, sf_dir):
     return accounting.successful(testbed.view(spark, sf_dir, "ledger"))
+
+
+# Files: each query writes a table in a sequencing format and reads it back
+
+
+@query
+def fastq_round_trip(spark, sf_dir):
+    path = scratch_path(spark, "fastq")
+    fastq.write_fastq(testbed.view(spark, sf_dir, "mates"), path)
+    return fastq.read_fastq(fastq.written_files(spark, path), 4 << 20).drop("ordinal")
+
+
+@query
+def sam_round_trip(spark, sf_dir):
+    path = scratch_path(spark, "sam")
+    records = testbed.view(spark, sf_dir, "alignments")
+    sam.write_sam(
+        records.withColumns(
+            {
+                "pnext0": F.col("pos0") + 7,
+                "tlen": F.lit(0),
+                "qual": F.lit("*"),
+                "tags": F.create_map(F.lit("NM"), F.concat(F.lit("i:"), "seq")),
+            }
+        ),
+        path,
+    )
+    return (
+        sam.read_sam(spark, f"{path}/records")
+        .withColumn("nm", F.col("tags")["NM"])
+        .drop("tags", "ordinal", "qual", "tlen")
+    )
+
+
+@query
+def alignment_store_region(spark, sf_dir):
+    path = scratch_path(spark, "store")
+    records = testbed.view(spark, sf_dir, "alignments").to(ALIGNMENTS)
+    sam.write_alignment_store(alignments.coordinate_sort(records), path)
+    stored_records = sam.read_alignment_store(spark, path)
+    return sam.region(stored_records, "chr2", 200, 6000).select(*ALIGNMENT_COLUMNS)
+
+
+@query
+def bedgraph_round_trip(spark, sf_dir):
+    path = scratch_path(spark, "bedgraph")
+    tables.write_bedgraph(_depth(spark, sf_dir), path)
+    return tables.read_bedgraph(spark, path)
+
+
+@query
+def signal_store_level(spark, sf_dir):
+    path = scratch_path(spark, "signal")
+    tables.write_signal(depth.signal_levels(_depth(spark, sf_dir)), path)
+    return spark.read.parquet(path).filter("chrom = 'chr3' and level = 2")
+
+
+@query
+def fasta_round_trip(spark, sf_dir):
+    path = scratch_path(spark, "fasta")
+    testbed.write_fasta(testbed.view(spark, sf_dir, "contigs"), path)
+    return fasta.read_fasta(spark, path).drop("chrom_idx")
+
+
+@query
+def fai_round_trip(spark, sf_dir):
+    path = scratch_path(spark, "fai")
+    testbed.write_fai(testbed.view(spark, sf_dir, "contigs"), path)
+    return fasta.read_fai(spark, path).drop("chrom_idx")
+
+
+@query
+def flagstat_reports(spark, sf_dir):
+    path = scratch_path(spark, "flagstat")
+    stats = alignments.flagstat(_alignments(spark, sf_dir))
+    tables.flagstat_lines(stats).write.partitionBy("sample_id").text(path)
+    sample = F.regexp_extract("file", "sample_id=([^/]*)/", 1)
+    return rounded(
+        tables.read_flagstat(spark, path).withColumn("sample_id", sample).drop("file"),
+        "mapping_rate",
+    )
+
+
+# From placement to depth, as a run does it
+
+
+@query
+def placed_flagstat(spark, sf_dir):
+    return rounded(alignments.flagstat(_placed(spark, sf_dir)), "mapping_rate")
+
+
+@query
+def placed_depth_stats(spark, sf_dir):
+    return rounded(
+        depth.depth_stats(depth.genome_depth(_placed(spark, sf_dir))),
+        "mean_coverage",
+        "median_coverage",
+        "std_coverage",
+        "weighted_mean_depth",
+    )
+
+
+def _placed(spark, sf_dir):
+    mates = _stored_view(spark, sf_dir, "mates")
+    placed = placement.best_placement(mates, _tiles(spark, sf_dir), MAX_MISMATCHES, k=SEED)
+    return stored(placement.placed_alignments(mates, placed))
