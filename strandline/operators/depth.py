@@ -11,7 +11,7 @@ TILE = 100_000
 
 def aligned_intervals(alignments: DataFrame) -> DataFrame:
     """Reference span of each mapped record, deletions and skips included."""
-    return mapped_only(alignments).select(
+    return mapped_only(alignments).filter(F.col("chrom").isNotNull()).select(
         "sample_id",
         "chrom",
         F.col("pos0").alias("start"),
@@ -39,12 +39,14 @@ def interval_depth(intervals: DataFrame, tile: int = TILE) -> DataFrame:
         ),
     )
     # A position whose steps cancel does not change the depth; without those, no
-    # two adjacent runs are equal and nothing has to be merged afterwards.
+    # two adjacent runs are equal and nothing has to be merged afterwards.  The
+    # coalesce tells Spark that a tile is never null: otherwise the join below would
+    # filter one of its two sides for that, and the shuffle they share be done twice.
     net = (
         steps.groupBy(*where, "pos")
         .agg(F.sum("step").alias("step"))
         .filter(F.col("step") != 0)
-        .withColumn("tile", F.expr(f"pos div {int(tile)}"))
+        .withColumn("tile", F.coalesce(F.expr(f"pos div {int(tile)}"), F.lit(0)))
         .repartition(*where, "tile")
     )
     by_tile = Window.partitionBy(*where).orderBy("tile")
