@@ -37,6 +37,7 @@ class Options:
     signal_levels: int = 5
     max_mismatches: int = 2
     seed_length: int = 16
+    max_read_length: int = 300
     trim_tails: bool = False
     read_limits: dict = field(default_factory=dict)
     write_fastq: bool = False
@@ -222,12 +223,16 @@ class Run:
         """Best placement of every clean read, as alignment records."""
         begun = time.time()
         clean = self.load("reads_clean")
-        tiles = fasta.read_fasta_tiles(self.spark, self.reference, self.index)
+        margin = self.options.max_read_length
+        tiles = fasta.read_fasta_tiles(
+            self.spark, self.reference, self.index, margin=margin
+        )
         placed = placement.best_placement(
             clean,
             tiles,
             self.options.max_mismatches,
             k=self.options.seed_length,
+            margin=margin,
         )
         self.save(placement.placed_alignments(clean, placed), "alignments")
         self._finish_stage(ALIGNMENT, begun, PREPROCESSING)

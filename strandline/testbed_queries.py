@@ -295,7 +295,8 @@ def _stored_view(spark, sf_dir, name):
 
 
 def _tiles(spark, sf_dir):
-    return placement.reference_tiles(_stored_view(spark, sf_dir, "contigs"))
+    contigs = _stored_view(spark, sf_dir, "contigs")
+    return placement.reference_tiles(contigs, margin=testbed.READ_LENGTH)
 
 
 @query
@@ -312,6 +313,7 @@ def approx_placement(spark, sf_dir):
         _tiles(spark, sf_dir),
         MAX_MISMATCHES,
         k=SEED,
+        margin=testbed.READ_LENGTH,
     ).drop("best")
 
 
@@ -322,6 +324,7 @@ def best_placement(spark, sf_dir):
         _tiles(spark, sf_dir),
         MAX_MISMATCHES,
         k=SEED,
+        margin=testbed.READ_LENGTH,
     )
 
 
@@ -445,5 +448,11 @@ def placed_depth_stats(spark, sf_dir):
 
 def _placed(spark, sf_dir):
     mates = _stored_view(spark, sf_dir, "mates")
-    placed = placement.best_placement(mates, _tiles(spark, sf_dir), MAX_MISMATCHES, k=SEED)
+    placed = placement.best_placement(
+        mates,
+        _tiles(spark, sf_dir),
+        MAX_MISMATCHES,
+        k=SEED,
+        margin=testbed.READ_LENGTH,
+    )
     return stored(placement.placed_alignments(mates, placed))
