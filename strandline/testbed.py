@@ -186,7 +186,7 @@ def spread(table: DataFrame) -> DataFrame:
     slots = table.sparkSession.sparkContext.defaultParallelism
     if table.rdd.getNumPartitions() >= slots:
         return table
-    return table.repartition(slots)
+    return table.repartition(slots, table.columns[0])
 
 
 def write_fasta(contigs: DataFrame, path: str, width: int = 60) -> None:
