@@ -102,6 +102,22 @@ class Run:
             self.ledger().filter(F.col("stage") == stage)
         ).select("sample_id")
 
+    def record_error(self, stage: str, error: str) -> None:
+        """Ledger rows for the samples that reached a stage that broke off."""
+        previous = {
+            ALIGNMENT: PREPROCESSING,
+            SAM_PROCESSING: ALIGNMENT,
+            COVERAGE: SAM_PROCESSING,
+        }
+        if stage in previous:
+            self.record(
+                stage,
+                self.successes(previous[stage]),
+                F.lit(accounting.ERROR),
+                F.lit(error),
+                self.started_at,
+            )
+
     # The stages
 
     def execute(self) -> DataFrame:
@@ -114,6 +130,7 @@ class Run:
             (SAM_PROCESSING, self.process_alignments),
             (COVERAGE, self.cover),
         ]
+        name = None
         try:
             for name, stage in stages:
                 stage()
@@ -122,6 +139,7 @@ class Run:
                     break
         except Exception as reason:
             status, error = "failed", str(reason)
+            self.record_error(name, error)
             raise
         finally:
             self.finish(status, error)

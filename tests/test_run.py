@@ -155,3 +155,26 @@ def test_run_without_input(spark, files, tmp_path):
         run.execute()
     report = spark.read.json(str(tmp_path / "out/reports/run")).first()
     assert report.status == "failed" and "no pair" in report.error
+
+
+def test_run_records_what_broke(spark, files, tmp_path):
+    folder, _, _ = files
+    reads = tmp_path / "reads"
+    reads.mkdir()
+    for mate in (1, 2):
+        text = (folder / "reads" / f"B_{mate}.fastq").read_text()
+        (reads / f"B_{mate}.fastq").write_text(text)
+    run = Run(
+        spark,
+        str(reads),
+        str(folder / "ref.fa"),
+        str(tmp_path / "missing.fai"),
+        str(tmp_path / "out"),
+    )
+    with pytest.raises(Exception, match="missing.fai"):
+        run.execute()
+    rows = {row.stage: row for row in run.ledger().collect()}
+    assert rows["preprocessing"].status == "success"
+    assert rows["alignment"].status == "error" and "missing.fai" in rows["alignment"].error
+    report = spark.read.json(str(tmp_path / "out/reports/run"))
+    assert report.filter("stage = 'run'").first().status == "failed"
