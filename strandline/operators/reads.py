@@ -157,8 +157,9 @@ def join_mates_checked(first: DataFrame, second: DataFrame) -> DataFrame:
     """Like ``join_mates``, but what cannot be paired stays, with ``error`` set.
 
     That is malformed records, which have no read id, and reads without a mate.
+    ``ordinal`` is the place of the pair in the file of mate 1.
     """
-    joined = _side(first, 1, "error").join(
+    joined = _side(first, 1, "error", "ordinal").join(
         _side(second, 2, "error"), ["sample_id", "read_id"], "full"
     )
     alone = F.col("seq1").isNull() | F.col("seq2").isNull()
@@ -169,7 +170,7 @@ def join_mates_checked(first: DataFrame, second: DataFrame) -> DataFrame:
             "error2",
             F.when(alone, F.concat(F.lit("read without mate: "), "read_id")),
         ),
-    ).drop("error1", "error2")
+    ).drop("error1", "error2").withColumnRenamed("ordinal1", "ordinal")
 
 
 def _side(reads: DataFrame, mate: int, *extra: str) -> DataFrame:
@@ -181,7 +182,10 @@ def _side(reads: DataFrame, mate: int, *extra: str) -> DataFrame:
 
 
 def split_pairs(pairs: DataFrame) -> DataFrame:
-    """The inverse of ``mate_join``: one row per mate."""
+    """The inverse of ``mate_join``: one row per mate.
+
+    Where pairs have an ``ordinal``, so have the reads: 2n and 2n + 1.
+    """
 
     def mate(number: int) -> Column:
         return F.struct(
@@ -190,7 +194,17 @@ def split_pairs(pairs: DataFrame) -> DataFrame:
             F.col(f"qual{number}").alias("qual"),
         )
 
-    return pairs.select("sample_id", "read_id", F.inline(F.array(mate(1), mate(2))))
+    ordered = "ordinal" in pairs.columns
+    reads = pairs.select(
+        "sample_id",
+        "read_id",
+        *(["ordinal"] if ordered else []),
+        F.inline(F.array(mate(1), mate(2))),
+    )
+    if ordered:
+        place = F.col("ordinal") * 2 + F.col("mate") - 1
+        reads = reads.withColumn("ordinal", place)
+    return reads
 
 
 def find_overlap(

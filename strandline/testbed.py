@@ -32,11 +32,14 @@ SQL_VIEWS = {
                'chr' || CAST(l_suppkey % 4 + 1 AS VARCHAR) AS chrom,
                CAST(l_partkey * 5 AS BIGINT) AS pos0,
                CAST(CAST(floor(l_extendedprice) AS BIGINT) % 61 AS INTEGER) AS mapq,
-               CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || 'M' AS cigar,
+               CAST(CAST(l_quantity AS BIGINT) AS VARCHAR)
+                   || CASE l_partkey % 20 WHEN 17 THEN 'M4S' WHEN 18 THEN 'M3D4M'
+                                          WHEN 19 THEN 'M2I5M10N1M' ELSE 'M' END AS cigar,
                'chr' || CAST(l_orderkey % 4 + 1 AS VARCHAR) AS rnext,
                CAST(CAST(l_quantity AS BIGINT) % 4 AS VARCHAR) AS seq,
                CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS ordinal,
-               CAST(l_quantity AS BIGINT) AS span
+               CAST(l_quantity AS BIGINT)
+                   + CASE l_partkey % 20 WHEN 18 THEN 7 WHEN 19 THEN 16 ELSE 0 END AS span
         FROM lineitem""",
     "sequences": f"""
         SELECT doc_id, lang,

@@ -163,7 +163,18 @@ def _over_placed(select: str) -> str:
 
 
 ORACLE: dict[str, str] = {
-    "depth_intervals": _over_depth("SELECT * FROM depth"),
+    "depth": _over_depth("SELECT * FROM depth"),
+    "depth_labels": _over_depth("""
+        SELECT *, CASE WHEN depth < 1 THEN 'no_coverage' WHEN depth < 10 THEN 'low_coverage'
+                       WHEN depth < 50 THEN 'medium_coverage'
+                       WHEN depth < 100 THEN 'high_coverage'
+                       ELSE 'very_high_coverage' END AS label
+        FROM depth"""),
+    "stage_results": with_views(
+        """SELECT sample_id, status, 'ref.fa' AS reference FROM ledger
+        WHERE status = 'success'""",
+        "ledger",
+    ),
     "bed_sort": _over_depth('SELECT * FROM depth ORDER BY sample_id, chrom, "start"'),
     "depth_stats": _over_depth(_DEPTH_STATS),
     "depth_stats_filled": _over_depth("""
@@ -556,4 +567,4 @@ SELECT sample_id, CAST(count(*) AS BIGINT) AS total_reads,
        round(100.0 * CAST(count(chrom) AS DOUBLE) / CAST(count(*) AS DOUBLE), 6)
            AS mapping_rate
 FROM ends GROUP BY sample_id""")
-ORACLE["flagstat_reports"] = ORACLE["flagstat"]
+ORACLE["flagstat_parse"] = ORACLE["flagstat"]

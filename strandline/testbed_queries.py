@@ -5,6 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandline import testbed
+from strandline.functions.alignment import depth_class
 from strandline.operators import accounting, alignments, depth, placement, reads
 from strandline.plans.storage import scratch_path, stored
 from strandline.schemas import ALIGNMENTS
@@ -30,7 +31,7 @@ MAX_MISMATCHES = 2
 
 
 def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
+    QUERIES[function.__name__.rstrip("_")] = function
     return function
 
 
@@ -50,10 +51,15 @@ def _depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def depth_intervals(spark, sf_dir):
+def depth_(spark, sf_dir):
     return _depth(spark, sf_dir)
 
 
+@query
+def depth_labels(spark, sf_dir):
+    return _depth(spark, sf_dir).withColumn("label", depth_class(F.col("depth")))
+
+
 @query
 def bed_sort(spark, sf_dir):
     return depth.bed_sort(_depth(spark, sf_dir))
@@ -346,6 +352,19 @@ def successful_samples(spark, sf_dir):
     return accounting.successful(testbed.view(spark, sf_dir, "ledger"))
 
 
+@query
+def stage_results(spark, sf_dir):
+    samples = accounting.with_stage_result(
+        testbed.view(spark, sf_dir, "ledger").drop("stage"),
+        "result",
+        status=F.col("status"),
+        reference=F.lit("ref.fa"),
+    )
+    return accounting.successful(samples.drop("status"), "result").select(
+        "sample_id", "result.status", "result.reference"
+    )
+
+
 # Files: each query writes a table in a sequencing format and reads it back
 
 
@@ -416,7 +435,7 @@ def fai_round_trip(spark, sf_dir):
 
 
 @query
-def flagstat_reports(spark, sf_dir):
+def flagstat_parse(spark, sf_dir):
     path = scratch_path(spark, "flagstat")
     stats = alignments.flagstat(_alignments(spark, sf_dir))
     tables.flagstat_lines(stats).write.partitionBy("sample_id").text(path)

@@ -131,13 +131,13 @@ def test_adapter_removal(spark):
 def test_mates(spark):
     frame = spark.createDataFrame(
         [
-            ("s", "a", 1, "AC", "II", None),
-            ("s", "a", 2, "GG", "JJ", None),
-            ("s", "b", 1, "TT", "II", None),
-            ("t", "a", 2, "CC", "II", None),
-            ("t", None, 1, None, None, "malformed record"),
+            ("s", "a", 1, "AC", "II", None, 0),
+            ("s", "a", 2, "GG", "JJ", None, 0),
+            ("s", "b", 1, "TT", "II", None, 7),
+            ("t", "a", 2, "CC", "II", None, 9),
+            ("t", None, 1, None, None, "malformed record", 9),
         ],
-        READ + ", error string",
+        READ + ", error string, ordinal long",
     )
     pairs = R.mate_join(frame)
     assert [tuple(r) for r in pairs.collect()] == [("s", "a", "AC", "II", "GG", "JJ")]
@@ -147,6 +147,8 @@ def test_mates(spark):
     }
     mate = F.col("mate")
     checked = R.join_mates_checked(frame.filter(mate == 1), frame.filter(mate == 2))
+    again = R.split_pairs(checked.filter("error is null")).orderBy("ordinal").collect()
+    assert [(r.read_id, r.mate, r.ordinal) for r in again] == [("a", 1, 0), ("a", 2, 1)]
     errors = {(r.sample_id, r.read_id): r.error for r in checked.collect()}
     assert errors == {
         ("s", "a"): None,

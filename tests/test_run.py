@@ -109,6 +109,14 @@ def test_run(spark, files, tmp_path, rows):
     }
     assert found == covered
 
+    for mate in (1, 2):
+        names = [
+            line[1:]
+            for part in sorted((tmp_path / "out/trimmed/sample_id=B" / f"mate={mate}").glob("part-*"))
+            for line in part.read_text().splitlines()[0::4]
+        ]
+        assert names == [f"B.{i}" for i in range(120)]
+
     sorted_rows = spark.read.text(str(tmp_path / "out/sam/records/sample_id=S_10"))
     assert sorted_rows.count() == 240
     header = sorted(
