@@ -25,7 +25,16 @@ def scratch_path(spark: SparkSession, name: str = "table") -> str:
 
 def stored(table: DataFrame, name: str = "table") -> DataFrame:
     """Write a table once and read it back: lineage ends, nothing is recomputed."""
-    spark = table.sparkSession
-    path = scratch_path(spark, name)
+    return stored_at(table, scratch_path(table.sparkSession, name))
+
+
+def stored_at(table: DataFrame, path: str) -> DataFrame:
+    """As ``stored``, at a path that the caller may ``discard`` when nothing reads it any more."""
     table.write.parquet(path)
-    return spark.read.schema(table.schema).parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a stored table, in whatever store it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
