@@ -4,7 +4,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from strandline.llm.decontamination import contamination
 from strandline.llm.near_duplicates import near_duplicates
+from strandline.llm.token_files import read_token_files, write_token_files
+from strandline.plans.storage import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -20,6 +23,50 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_decontamination(spark, sf_dir):
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op1_decontamination"] = r"""
+    WITH words AS (
+        SELECT doc_id, regexp_extract_all(
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                             'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+        FROM documents),
+    items AS (
+        SELECT item_id, regexp_extract_all(
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                             'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+        FROM benchmark),
+    windows AS (
+        SELECT DISTINCT item_id, least(len(w), 10) AS size,
+               array_to_string(w[i + 1:i + least(len(w), 10)], ' ') AS win
+        FROM (SELECT *, unnest(range(len(w) - least(len(w), 10) + 1)) AS i
+              FROM items WHERE len(w) > 0)),
+    places AS (
+        SELECT doc_id, size, i, array_to_string(w[i + 1:i + size], ' ') AS win
+        FROM (SELECT doc_id, w, size, unnest(range(len(w) - size + 1)) AS i
+              FROM words, (SELECT DISTINCT size FROM windows) WHERE len(w) >= size)),
+    met AS (SELECT doc_id, item_id, p.size, i FROM places p JOIN windows USING (size, win)),
+    hits AS (
+        SELECT doc_id, count(DISTINCT place) AS n_hit
+        FROM (SELECT doc_id, unnest(range(i, i + size)) AS place FROM met) GROUP BY doc_id),
+    lists AS (
+        SELECT doc_id, count(DISTINCT item_id) AS n_items,
+               string_agg(DISTINCT CAST(item_id AS VARCHAR), ','
+                          ORDER BY CAST(item_id AS VARCHAR)) AS ids
+        FROM met GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+           CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+           CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+           sha256(coalesce(ids, '')) AS items_sha256,
+           coalesce(n_hit, 0) > 0 AS contaminated
+    FROM words LEFT JOIN hits USING (doc_id) LEFT JOIN lists USING (doc_id)"""
+
+
 @query
 def op4_near_duplicates(spark, sf_dir):
     return near_duplicates(_table(spark, sf_dir, "documents")).select(
@@ -27,3 +74,14 @@ def op4_near_duplicates(spark, sf_dir):
         F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"),
         "component_id",
     )
+
+
+@query
+def op9_token_files(spark, sf_dir):
+    import public_tokenizers
+
+    path = scratch_path(spark, "tokens")
+    write_token_files(
+        _table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json")
+    )
+    return read_token_files(spark, path, digest=True)
