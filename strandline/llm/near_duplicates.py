@@ -15,11 +15,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from strandline.llm.bytetext import ragged
 from strandline.llm.components import components
-from strandline.llm.frames import unused
+from strandline.llm.frames import matched, row_hash
 from strandline.llm.simhash import fingerprints
 from strandline.plans.storage import stored
 
@@ -188,28 +188,24 @@ def _by_midpoints(prints: DataFrame) -> DataFrame:
     return groups.select("a", F.explode("all").alias("b")).filter("a <> b")
 
 
-def near_duplicates(
-    docs: DataFrame, crowded: int = CROWDED, id_column: str = "doc_id", text_column: str = "text"
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """The near-duplicate group of every document.
 
-    Returns one row per row of ``docs``: ``doc_id``, ``text_hash`` (of the whole text; with the
-    id it names the row), ``bits`` (the fingerprint as a signed long) and ``component_id``, the
-    smallest id among the documents reached over links of at most four differing bits, the
-    document's own included.
+    Returns one row per row of ``docs``: ``doc_id``, ``row_hash`` (of the whole row), ``bits``
+    (the fingerprint as a signed long), ``root`` (one fingerprint of the group) and ``component_id``, the smallest id among the documents
+    reached over links of at most four differing bits, the document's own included.
 
     Null texts count as empty; texts without words have the fingerprint zero and are linked like
     others. Null ids are passed over by the minimum, so a group of nulls only has a null
     ``component_id``. Repeated rows are returned as often as given. Other columns of ``docs``,
-    whatever their names, are not read. An empty table gives an empty table.
+    whatever their names, only enter ``row_hash``. An empty table gives an empty table.
     """
-    text = F.coalesce(F.col(text_column), F.lit(""))
     rows = docs.select(
-        F.col(id_column).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")
+        "doc_id", row_hash(docs).alias("row_hash"), F.coalesce("text", F.lit("")).alias("text")
     )
     kind = dict(rows.dtypes)["doc_id"]
     found = stored(
-        rows.mapInArrow(fingerprints, f"doc_id {kind}, text_hash long, bits long"), "prints"
+        rows.mapInArrow(fingerprints, f"doc_id {kind}, row_hash long, bits long"), "prints"
     )
     classes = stored(found.groupBy("bits").agg(F.min("doc_id").alias("least_id")), "classes")
     roots = components(stored(links(classes.select("bits"), crowded), "links")).select(
@@ -219,37 +215,19 @@ def near_duplicates(
         "bits", "least_id", F.coalesce("root", "bits").alias("root")
     )
     least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    labels = placed.join(least, "root").select("bits", "component_id")
-    return found.join(labels, "bits").select("doc_id", "text_hash", "bits", "component_id")
+    labels = placed.join(least, "root").select("bits", "root", "component_id")
+    return found.join(labels, "bits").select("doc_id", "row_hash", "bits", "root", "component_id")
 
 
 def without_near_duplicates(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
-    """One document of each near-duplicate group, whole, with all columns of ``docs``.
+    """One document of each near-duplicate group, whole, with the columns of ``docs``.
 
-    Kept is the row with the smallest id (null last), then the smallest text hash; of rows that
-    repeat both, any one.
+    Kept is the row with the smallest id (null last); of several with that id, any one, the same
+    in every run.
     """
-    found = near_duplicates(docs, crowded)
-    rank = F.row_number().over(
-        Window.partitionBy("component_id").orderBy(F.col("doc_id").asc_nulls_last(), "text_hash")
-    )
-    # a group without ids has no component_id: its fingerprint stands for it
-    rank_null = F.row_number().over(Window.partitionBy("bits").orderBy("text_hash"))
-    kept_id, kept_hash = unused(docs, "kept_id"), unused(docs, "kept_hash")
-    keep = (
-        found.filter("component_id is not null")
-        .withColumn("nth", rank)
-        .union(found.filter("component_id is null").withColumn("nth", rank_null))
-        .filter("nth = 1")
-        .select(F.col("doc_id").alias(kept_id), F.col("text_hash").alias(kept_hash))
-    )
-    nth, text_hash = unused(docs, "nth"), unused(docs, "text_hash")
-    first = F.row_number().over(Window.partitionBy("doc_id", text_hash).orderBy("doc_id"))
-    same = F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(text_hash) == F.col(kept_hash))
-    return (
-        docs.withColumn(text_hash, F.xxhash64(F.coalesce("text", F.lit(""))))
-        .withColumn(nth, first)
-        .filter(F.col(nth) == 1)
-        .join(keep, same, "left_semi")
-        .select(*(docs[name] for name in docs.columns))
+    least = F.min_by(
+        F.struct("doc_id", "row_hash"),
+        F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_hash"),
     )
+    kept = near_duplicates(docs, crowded).groupBy("root").agg(least.alias("row"))
+    return matched(docs, kept.select("row.doc_id", "row.row_hash"))

@@ -5,6 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandline.llm.decontamination import contamination
+from strandline.llm.mixing import copies
 from strandline.llm.near_duplicates import near_duplicates
 from strandline.llm.token_files import read_token_files, write_token_files
 from strandline.plans.storage import scratch_path
@@ -76,6 +77,62 @@ def op4_near_duplicates(spark, sf_dir):
     )
 
 
+@query
+def op5_mixing(spark, sf_dir):
+    return copies(_table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "size",
+        "source_size",
+        "target",
+        (F.col("copies") * F.col("size")).alias("taken"),
+    )
+
+
+ORACLE["op5_mixing"] = r"""
+    WITH sizes AS (
+        SELECT doc_id, source,
+               CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+')) AS BIGINT) AS size
+        FROM documents),
+    sources AS (
+        SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+               CAST(CASE row_number() OVER (ORDER BY source NULLS LAST) % 3
+                    WHEN 1 THEN 3 WHEN 2 THEN 1 ELSE 2 END AS DOUBLE) AS weight
+        FROM sizes GROUP BY source),
+    -- the sources that reach twice their size come first, in this order
+    ranked AS (
+        SELECT *, source_size * 2.0::DOUBLE / weight AS full_at,
+               sum(source_size * 2.0::DOUBLE) OVER w - source_size * 2.0::DOUBLE AS full_before,
+               sum(weight) OVER () - sum(weight) OVER w + weight AS weight_left,
+               sum(source_size) OVER () * 1.5::DOUBLE AS shared
+        FROM sources WINDOW w AS (ORDER BY source_size * 2.0::DOUBLE / weight, source NULLS LAST
+                                  ROWS UNBOUNDED PRECEDING)),
+    level AS (
+        SELECT (shared - full_before) / weight_left AS level FROM ranked
+        WHERE (shared - full_before) / weight_left < full_at
+        ORDER BY full_at, source NULLS LAST LIMIT 1),
+    targets AS (
+        SELECT source, source_size, least(weight * level, source_size * 2.0::DOUBLE) AS target,
+               CAST('0x' || substr(md5('offset/' || coalesce(source, '')), 1, 8) AS BIGINT)
+                   / 4294967296.0::DOUBLE AS "offset"
+        FROM sources, level),
+    placed AS (
+        SELECT s.*, source_size, target, "offset",
+               CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate,
+               row_number() OVER (
+                   PARTITION BY s.source
+                   ORDER BY floor(ln(size + 1.0::DOUBLE) * 17.0::DOUBLE),
+                            CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8)
+                                 AS BIGINT)
+                                % (SELECT greatest(1, CAST(ceil(count(*) / 20000.0) AS BIGINT))
+                                   FROM sizes),
+                            size, doc_id NULLS FIRST) AS nth
+        FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+    SELECT doc_id, size, source_size, target,
+           CAST((floor(rate * nth + "offset") - floor(rate * (nth - 1) + "offset")) * size AS BIGINT)
+               AS taken
+    FROM placed"""
+
+
 @query
 def op9_token_files(spark, sf_dir):
     import public_tokenizers
