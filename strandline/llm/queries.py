@@ -8,6 +8,7 @@ from strandline.llm.decontamination import contamination
 from strandline.llm.mixing import copies
 from strandline.llm.near_duplicates import near_duplicates
 from strandline.llm.token_files import read_token_files, write_token_files
+from strandline.llm.url_filter import judged
 from strandline.plans.storage import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -133,6 +134,15 @@ ORACLE["op5_mixing"] = r"""
     FROM placed"""
 
 
+@query
+def op8_url_filter(spark, sf_dir):
+    return judged(
+        _table(spark, sf_dir, "pages"),
+        allow=("org/", "com/fr/"),
+        block=("example.org/es/", "example.org/en/1", "com/de/"),
+    )
+
+
 @query
 def op9_token_files(spark, sf_dir):
     import public_tokenizers
