@@ -5,6 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandline.llm.decontamination import contamination
+from strandline.llm.language import languages
 from strandline.llm.mixing import copies
 from strandline.llm.near_duplicates import near_duplicates
 from strandline.llm.token_files import read_token_files, write_token_files
@@ -69,6 +70,11 @@ ORACLE["op1_decontamination"] = r"""
     FROM words LEFT JOIN hits USING (doc_id) LEFT JOIN lists USING (doc_id)"""
 
 
+@query
+def op2_language(spark, sf_dir):
+    return languages(_table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_near_duplicates(spark, sf_dir):
     return near_duplicates(_table(spark, sf_dir, "documents")).select(
