@@ -8,6 +8,7 @@ from strandline.llm.decontamination import contamination
 from strandline.llm.language import languages
 from strandline.llm.mixing import copies
 from strandline.llm.near_duplicates import near_duplicates
+from strandline.llm.quality import quality
 from strandline.llm.token_files import read_token_files, write_token_files
 from strandline.llm.url_filter import judged
 from strandline.plans.storage import scratch_path
@@ -140,6 +141,11 @@ ORACLE["op5_mixing"] = r"""
     FROM placed"""
 
 
+@query
+def op6_quality(spark, sf_dir):
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 @query
 def op8_url_filter(spark, sf_dir):
     return judged(
