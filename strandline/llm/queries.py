@@ -10,6 +10,7 @@ from strandline.llm.mixing import copies
 from strandline.llm.near_duplicates import near_duplicates
 from strandline.llm.quality import quality
 from strandline.llm.token_files import read_token_files, write_token_files
+from strandline.llm.toxicity import toxicity
 from strandline.llm.url_filter import judged
 from strandline.plans.storage import scratch_path
 
@@ -164,3 +165,8 @@ def op9_token_files(spark, sf_dir):
         _table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json")
     )
     return read_token_files(spark, path, digest=True)
+
+
+@query
+def op10_toxicity(spark, sf_dir):
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
