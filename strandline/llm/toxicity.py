@@ -1,7 +1,7 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained, one on ordinary text and one on the words that set toxic
-text apart. A window, one word behind a stretch that both know, is compressed twice: with the
+text apart. A window, one word between short stretches that don't change, is compressed twice: with the
 ordinary dictionary, and with the toxic one behind it. What the second saves is the window's
 distance. How many of a text's windows reach which distance is what the score is made of.
 """
@@ -24,9 +24,12 @@ THRESHOLD = 0.3
 
 _GRAMS = (5, 6, 7, 8)
 _APART = 6.0  # standard deviations
-_ORDINARY_BYTES, _TOXIC_BYTES = 16_000, 7_600
-_LEVEL = 16
-_LEAD = 16
+_LIFT = 2.0  # times as often as in all texts
+_OFTEN = 4  # times in toxic texts
+_ORDINARY_BYTES, _TOXIC_BYTES = 32000, 7_600
+_LEVEL = 3
+_LEAD = bytes(8) + b" "
+_TAIL = b" " + bytes(8)  # the library looks for no match in the last eight bytes
 _FARTHEST = 11
 _MOST = 4  # windows that count at one distance
 _SLOTS = 20  # bits
@@ -74,7 +77,7 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     settings = zstandard.ZstdCompressionParameters.from_level(
         _LEVEL,
         source_size=64,
-        dict_size=max(len(content), 64),
+        dict_size=_ORDINARY_BYTES + _TOXIC_BYTES,  # alike for both
         write_checksum=False,
         write_content_size=False,
         write_dict_id=False,
@@ -90,7 +93,7 @@ class Distances:
     """Distances of words; those met lately are remembered, a fixed number of them."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
-        self.lead = ordinary[-_LEAD:] + b" "
+        self.lead = _LEAD
         self.without = _compressor(ordinary).compress
         self.with_toxic = _compressor(ordinary + toxic).compress
         self.keys = np.zeros(1 << _SLOTS, np.uint64)
@@ -113,7 +116,7 @@ class Distances:
         return out
 
     def _one(self, word: bytes) -> int:
-        window = self.lead + word + b" "
+        window = self.lead + word + _TAIL
         return min(max(len(self.without(window)) - len(self.with_toxic(window)), 0), _FARTHEST)
 
 
@@ -174,7 +177,8 @@ def _apart(toxic: _Words, ordinary: _Words) -> tuple[list[bytes], np.ndarray]:
         _, gram = np.unique(hashed(sums, at, at + size), return_inverse=True)
         t = np.bincount(gram, n_toxic[owner])
         n = np.bincount(gram, n_all[owner])
-        z = np.where(t >= 4, (t - n * share) / np.sqrt(n * share * (1 - share) + 1), 0.0)
+        z = (t - n * share) / np.sqrt(n * share * (1 - share) + 1)
+        z[(t < _OFTEN) | (t < _LIFT * n * share)] = 0
         np.maximum.at(best, owner, z[gram])
     chosen = np.flatnonzero((best > _APART) & (n_toxic > 0))
     words = [line[places[i] + 1 : places[i] + 1 + widths[i]].tobytes() for i in chosen.tolist()]
