@@ -5,6 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandline.llm.decontamination import contamination
+from strandline.llm.html_text import extracted
 from strandline.llm.language import languages
 from strandline.llm.mixing import copies
 from strandline.llm.near_duplicates import near_duplicates
@@ -77,6 +78,11 @@ def op2_language(spark, sf_dir):
     return languages(_table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_html_text(spark, sf_dir):
+    return extracted(_table(spark, sf_dir, "pages"))
+
+
 @query
 def op4_near_duplicates(spark, sf_dir):
     return near_duplicates(_table(spark, sf_dir, "documents")).select(
