@@ -10,6 +10,7 @@ from strandline.llm.language import languages
 from strandline.llm.mixing import copies
 from strandline.llm.near_duplicates import near_duplicates
 from strandline.llm.quality import quality
+from strandline.llm.suffix_dedup import removal
 from strandline.llm.token_files import read_token_files, write_token_files
 from strandline.llm.toxicity import toxicity
 from strandline.llm.url_filter import judged
@@ -153,6 +154,11 @@ def op6_quality(spark, sf_dir):
     return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+@query
+def op7_suffix_dedup(spark, sf_dir):
+    return removal(_table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_url_filter(spark, sf_dir):
     return judged(
