@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, functions as F
 from strandline.llm.bytetext import encoded, hashed, mixed, pieces, ragged, rolling, spans
 
 #: Labelled documents that the model is made from, at most.
-TOXIC_ROWS = 1500
-ORDINARY_ROWS = 4500
+TOXIC_ROWS = 1200
+ORDINARY_ROWS = 3000
 THRESHOLD = 0.3
 
 _GRAMS = (5, 6, 7, 8)
