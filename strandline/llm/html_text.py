@@ -41,12 +41,12 @@ _ROLES = frozenset(
 #: Words of a class or id that name such elements.
 _NAMES = frozenset(
     "ad ads adsense adsbygoogle advert adverts advertisement advertising banner breadcrumb"
-    " breadcrumbs comment comments consent cookie cookies copyright disqus footer gdpr header"
-    " login masthead menu modal nav navbar navigation newsletter notice notification outbrain"
-    " overlay pager pagination paywall popup promo promoted promotion recommended related replies"
-    " reply respond share sharing sidebar signup skip social sponsor sponsored subscribe"
-    " subscription taboola toolbar widget".split()
+    " breadcrumbs consent cookie cookies copyright footer gdpr header login masthead menu modal"
+    " nav navbar navigation newsletter notice notification outbrain overlay pager pagination"
+    " paywall popup promo promoted promotion recommended related share sharing sidebar signup skip"
+    " social sponsor sponsored subscribe subscription taboola toolbar widget".split()
 )
+_COMMENTS = frozenset("comment comments disqus replies reply respond".split())
 #: Elements that a start tag ends, up to a border.
 _ENDS = {
     "li": (("li",), ("ul", "ol", "menu")),
@@ -83,7 +83,7 @@ class _Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[_Line] = []
-        self.open: list[tuple[str, str]] = []  # element, and "silent", "beside", "head" or ""
+        self.open: list[tuple[str, str]] = []  # element and kind, "" for an ordinary one
         self.homes: list[int] = []
         self.n_homes = 0
         self.parts: list[str] = []
@@ -94,7 +94,8 @@ class _Lines(HTMLParser):
         text = " ".join("".join(self.parts).split())
         if text:
             kinds = {kind for _, kind in self.open}
-            beside = "beside" in kinds or ("head" in kinds and not (self.heading and self.homes))
+            beside = bool(kinds & {"beside", "comments"})
+            beside = beside or ("head" in kinds and not (self.heading and self.homes))
             home = self.homes[-1] if self.homes else 0
             self.lines.append(
                 _Line(text, self.tags, min(self.linked, len(text)), beside, home, self.heading)
@@ -113,8 +114,8 @@ class _Lines(HTMLParser):
         for name in ("class", "id"):
             if value := given.get(name):
                 words.update(_PARTS.findall(_CAMEL.sub(" ", value).lower()))
-        if words & {"comment", "comments", "disqus", "replies", "reply", "respond"}:
-            return "beside"
+        if words & _COMMENTS:
+            return "comments"
         if tag == "article":
             return ""
         if tag == "header" or (words & _NAMES) == {"header"}:
@@ -163,10 +164,10 @@ class _Lines(HTMLParser):
             return
         kind = self._kind(tag, attrs)
         if tag in _CONTENT:
-            if kind == "":
-                beside = [at for at, (name, k) in enumerate(self.open) if k in ("beside", "head") and name != "article"]
-                if beside and not any(k == "beside" and name == "article" for name, k in self.open):
-                    self._pop(beside[0])
+            kinds = [open_kind for _, open_kind in self.open]
+            beside = [at for at, open_kind in enumerate(kinds) if open_kind in ("beside", "head")]
+            if beside and kind == "" and "comments" not in kinds:
+                self._pop(beside[0])  # it was never closed
             self.n_homes += 1
             self.homes.append(self.n_homes)
         if tag == "a":
