@@ -13,6 +13,7 @@ LENGTH = 50
 Q = 16
 #: q-grams of a stretch.
 _GRAMS = LENGTH - Q + 1
+_SIDE = _GRAMS // 2  # bytes that a shared stretch has at least, before or after the q-gram
 _FIRST = 8  # bytes of the first buckets
 
 
@@ -26,14 +27,17 @@ def _sliding(x: np.ndarray, pick, size: int) -> np.ndarray:
     return pick(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def anchors(
-    data: np.ndarray, places: np.ndarray
-) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of all texts: place in ``data``, number of the text, the q-gram's identifier, and
-    that of the surroundings together with the anchor's place in them."""
+def anchors(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Anchors of all texts: place in ``data``, number of the text, and four identifiers.
+
+    They are those of the q-gram, of its surroundings together with the anchor's place in them,
+    and of the q-gram with the bytes right before it, and right after it. A stretch that two
+    surroundings share has enough of the bytes on one side, so these agree on one of the sides;
+    near a text's end, where a side has fewer bytes, nothing else has the same identifier.
+    """
     none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, *[none.astype(np.uint64)] * 4
     sums = rolling(data)
     at = np.arange(len(data) - Q + 1)
     gram = hashed(sums, at, at + Q)
@@ -51,7 +55,14 @@ def anchors(
     begins, ends = surroundings(chosen, places[text], places[text + 1])
     around = hashed(sums, begins, ends)
     around = mixed(around + (chosen - begins).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return chosen, text, gram[chosen], around
+    sides = []
+    for low, high in ((-_SIDE, Q), (0, Q + _SIDE)):
+        a, b = chosen + low, chosen + high
+        inside = (a >= places[text]) & (b <= places[text + 1])
+        side = mixed(around)
+        side[inside] = hashed(sums, a[inside], b[inside])
+        sides.append(side)
+    return chosen, text, gram[chosen], around, *sides
 
 
 def surroundings(at: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,23 +90,25 @@ def refined(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarra
     live = ragged(places[:-1], np.maximum(sizes - _FIRST + 1, 0))
     end = np.repeat(places[1:], np.maximum(sizes - _FIRST + 1, 0))
     _, pointer[live] = np.unique(value[live], return_inverse=True)
-    total = size + 1
+    free = size  # the next bucket's number
     depth = _FIRST
     while True:
-        counts = np.bincount(pointer[live], minlength=1)
-        several = counts[pointer[live]] > 1
+        order = np.argsort(pointer[live], kind="stable")
+        own = pointer[live][order]
+        same = own[1:] == own[:-1]
+        several = np.zeros(len(live), bool)
+        several[order[1:]] = same
+        several[order[:-1]] |= same
         live, end = live[several], end[several]
         if depth == LENGTH or not len(live):
             return live, pointer[live]
         step = min(depth, LENGTH - depth)
         reach = live + depth + step <= end
         live, end = live[reach], end[reach]
-        pairs = pointer[live].astype(np.uint64) * np.uint64(total) + pointer[live + step].astype(
+        pairs = pointer[live].astype(np.uint64) * np.uint64(free) + pointer[live + step].astype(
             np.uint64
         )
         _, found = np.unique(pairs, return_inverse=True)
-        low = int(pointer.max()) + 1
-        pointer[live] = low + found
-        # numbered from zero again, so that pairs of pointers stay small
-        _, pointer = np.unique(pointer, return_inverse=True)
+        pointer[live] = free + found
+        free += len(live)
         depth += step

@@ -7,8 +7,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from strandline.llm.bytetext import encoded, pieces, ragged
-from strandline.llm.repeats import LENGTH, anchors, refined, surroundings
+from strandline.llm.bytetext import encoded, hashed, pieces, ragged, rolling
+from strandline.llm.repeats import LENGTH, Q, anchors, refined, surroundings
 from strandline.plans.storage import stored
 
 #: Anchors that one task compares, about, and that are compared where they are found.
@@ -18,8 +18,8 @@ PART_ASKED = 40_000
 _PIECE = 1_000_000
 
 _BLOCK = (
-    "part int, doc_ids binary, checks binary, lengths binary, counts binary, grams binary,"
-    " around binary, places binary, runs binary, bounds binary"
+    "part int, doc_ids binary, checks binary, lengths binary, counts binary, before binary,"
+    " after binary, around binary, width byte, places binary, runs binary, bounds binary"
 )
 _FOUND = "doc_id long, check long, runs binary, asked binary"
 
@@ -81,26 +81,27 @@ class _Block:
 
     def add(self, batch: pa.RecordBatch) -> None:
         data, places = encoded(batch.column("text"))
-        at, text, gram, around = anchors(data, places)
+        at, text, *names = anchors(data, places)
         ids = batch.column("doc_id").to_numpy()
         docs = np.stack((ids, batch.column("check").to_numpy(), np.diff(places)))
         rows = np.stack((text + self.n_docs, at - places[text]))
         self.docs.append(docs)
-        self.found.append((rows, gram, around))
+        self.found.append((rows, np.stack(names)))
         self.n_docs += len(ids)
         self.n_found += len(at)
 
     def emptied(self) -> Iterator[pa.RecordBatch]:
         ids, checks, lengths = np.concatenate(self.docs, axis=1)
-        doc, place = np.concatenate([rows for rows, _, _ in self.found], axis=1)
-        gram = np.concatenate([gram for _, gram, _ in self.found])
-        around = np.concatenate([around for _, _, around in self.found])
+        doc, place = np.concatenate([rows for rows, _ in self.found], axis=1)
+        gram, around, before, after = np.concatenate([names for _, names in self.found], axis=1)
         self.__init__(self.parts)
         member, least = _first_in_class(around, ids[doc])
         twice = ids[doc] > least[member]
         begins, ends = surroundings(place[twice], 0, lengths[doc[twice]])
         run_doc, run_begin, run_end = _merged(doc[twice], begins, ends)
-        doc, place, gram, around = (x[~twice] for x in (doc, place, gram, around))
+        doc, place, gram, around, before, after = (
+            x[~twice] for x in (doc, place, gram, around, before, after)
+        )
         part = (gram % np.uint64(self.parts)).astype(np.int64)
         order = np.lexsort((place, doc, part))
         cuts = np.searchsorted(part[order], np.arange(self.parts + 1))
@@ -118,9 +119,12 @@ class _Block:
             rows["lengths"].append(lengths[used].astype("<u4").tobytes())
             counts = np.bincount(index[: len(own)], minlength=len(used))
             rows["counts"].append(counts.astype("<u4").tobytes())
-            rows["grams"].append(_packed(gram[own] >> np.uint64(24), 5))
+            rows["before"].append(_packed(before[own] >> np.uint64(32), 4))
+            rows["after"].append(_packed(after[own] >> np.uint64(32), 4))
             rows["around"].append(_packed(around[own] >> np.uint64(16), 6))
-            rows["places"].append(place[own].astype("<u4").tobytes())
+            width = (int(place[own].max(initial=1)).bit_length() + 7) // 8
+            rows["width"].append(width)
+            rows["places"].append(_packed(place[own], width))
             rows["runs"].append(index[len(own) :].astype("<u4").tobytes())
             bounds = np.stack((run_begin[mine], run_end[mine]), axis=1)
             rows["bounds"].append(bounds.astype("<u4").tobytes())
@@ -128,8 +132,8 @@ class _Block:
 
 
 _SCHEMA = pa.schema(
-    [("part", pa.int32())]
-    + [(part.split()[0], pa.binary()) for part in _BLOCK.split(", ")[1:]]
+    (name, {"int": pa.int32(), "byte": pa.int8(), "binary": pa.binary()}[kind])
+    for name, kind in (column.split() for column in _BLOCK.split(", "))
 )
 
 
@@ -148,18 +152,23 @@ def _anchored(parts: int) -> Callable:
 
 def _compared(table: pa.Table) -> pa.Table:
     """Of all anchors of a part: runs of documents found in a smaller one, and what is to be
-    looked at in the text, as a q-gram is in several surroundings."""
+    looked at in the text, as surroundings that differ may share a stretch."""
 
     def joined(name: str, kind: str) -> tuple[np.ndarray, np.ndarray]:
         each = [np.frombuffer(raw, kind) for raw in table.column(name).to_pylist()]
         return np.concatenate(each).astype(np.int64), np.array([len(x) for x in each])
 
+    def unpacked(name: str, width: int) -> np.ndarray:
+        return np.concatenate([_unpacked(raw, width) for raw in table.column(name).to_pylist()])
+
     ids, n_docs = joined("doc_ids", "<i8")
     checks, lengths = joined("checks", "<u4")[0], joined("lengths", "<u4")[0]
     doc = np.repeat(np.arange(len(ids)), joined("counts", "<u4")[0])
-    place = joined("places", "<u4")[0]
-    gram = np.concatenate([_unpacked(raw, 5) for raw in table.column("grams").to_pylist()])
-    around = np.concatenate([_unpacked(raw, 6) for raw in table.column("around").to_pylist()])
+    widths = table.column("width").to_pylist()
+    place = np.concatenate(
+        [_unpacked(raw, n) for raw, n in zip(table.column("places").to_pylist(), widths)]
+    ).astype(np.int64)
+    around = unpacked("around", 6)
     run_doc, n_runs = joined("runs", "<u4")
     run_doc = run_doc + np.repeat(np.cumsum(n_docs) - n_docs, n_runs)
     bounds = joined("bounds", "<u4")[0].reshape(-1, 2)
@@ -172,16 +181,19 @@ def _compared(table: pa.Table) -> pa.Table:
         np.concatenate((bounds[:, 0], begins)),
         np.concatenate((bounds[:, 1], ends)),
     )
-    # classes of one q-gram are compared byte by byte, each by its smallest document
-    of_class = np.zeros(len(least), np.uint64)
-    of_class[member] = gram
-    _, which, several = np.unique(of_class, return_inverse=True, return_counts=True)
-    asked = np.flatnonzero((several[which] > 1)[member] & ~twice)
+    # classes that may share a stretch are compared byte by byte, each by its smallest document
+    shared = np.zeros(len(least), bool)
+    for name in ("before", "after"):
+        of_class = np.zeros(len(least), np.uint64)
+        of_class[member] = unpacked(name, 4)
+        _, which, several = np.unique(of_class, return_inverse=True, return_counts=True)
+        shared |= several[which] > 1
+    asked = np.flatnonzero(shared[member] & ~twice)
     asked = asked[np.argsort(doc[asked], kind="stable")]
 
     used = np.unique(np.concatenate((owner, doc[asked])))
     runs = np.stack((begins, ends), axis=1).astype("<u4")
-    question = np.stack((place[asked].astype(np.uint64), gram[asked]), axis=1).astype("<u8")
+    question = place[asked].astype("<u4")
     at_runs = np.append(np.searchsorted(owner, used), len(owner))
     at_asked = np.append(np.searchsorted(doc[asked], used), len(asked))
     return pa.table(
@@ -189,25 +201,25 @@ def _compared(table: pa.Table) -> pa.Table:
             "doc_id": pa.array(ids[used]),
             "check": pa.array(checks[used]),
             "runs": _binary(runs.ravel(), 2 * at_runs),
-            "asked": _binary(question.ravel(), 2 * at_asked),
+            "asked": _binary(question, at_asked),
         }
     )
 
 
 def _looked_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The surroundings that are asked for, with where they are."""
-    for batch in pieces(batches, limit=_PIECE):
+    with_id = (batch.filter(batch.column("doc_id").is_valid()) for batch in batches)
+    for batch in pieces(with_id, limit=_PIECE):
         data, places = encoded(batch.column("text"))
-        asked = [np.frombuffer(raw, "<u8").reshape(-1, 2) for raw in batch.column("asked").to_pylist()]
+        asked = [np.frombuffer(b"".join(x), "<u4") for x in batch.column("asked").to_pylist()]
         owner = np.repeat(np.arange(len(asked)), [len(x) for x in asked])
-        both = np.concatenate(asked)
-        at = both[:, 0].astype(np.int64) + places[owner]
+        at = np.concatenate(asked).astype(np.int64) + places[owner]
         begins, ends = surroundings(at, places[owner], places[owner + 1])
         sizes = ends - begins
         index = pa.array(owner)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(both[:, 1].astype(np.int64)),
+                pa.array(hashed(rolling(data), at, at + Q).view(np.int64)),
                 batch.column("doc_id").take(index),
                 batch.column("check").take(index),
                 pa.array(begins - places[owner], pa.int64()),
@@ -296,23 +308,33 @@ def _with_runs(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` with ``runs``, the stretches to remove, several to a document."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    rows = rows.select("doc_id", F.crc32("text").alias("check"), "text")
+    # never null, so that both joins below read one shuffle of the texts
+    rows = rows.select(
+        F.coalesce("doc_id", F.lit(0)).alias("key"),
+        F.coalesce(F.crc32("text"), F.lit(0)).alias("check"),
+        "doc_id",
+        "text",
+    )
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # about one anchor in 18 bytes
     parts = max(1, -(-total // (16 * PART_ANCHORS)))
     found = stored(
         rows.filter(f"doc_id is not null and octet_length(text) >= {LENGTH}")
+        .select("doc_id", "check", "text")
         .mapInArrow(_anchored(parts), _BLOCK)
         .groupBy("part")
         .applyInArrow(_compared, _FOUND),
         "anchors",
     )
     asked = found.filter(F.octet_length("asked") > 0)
-    # 16 bytes a question
+    # four bytes a question
     count = asked.agg(F.sum(F.octet_length("asked"))).first()[0] or 0
-    groups = max(1, -(-count // (16 * PART_ASKED)))
+    groups = max(1, -(-count // (4 * PART_ASKED)))
+    by_text = asked.groupBy(F.col("doc_id").alias("key"), "check").agg(
+        F.collect_list("asked").alias("asked")
+    )
     looked_up = (
-        rows.join(asked.select("doc_id", "check", "asked"), ["doc_id", "check"])
+        rows.join(by_text, ["key", "check"])
         .select("doc_id", "check", "text", "asked")
         .mapInArrow(_looked_up, "gram long, doc_id long, check long, begin long, bytes binary")
     )
@@ -325,8 +347,10 @@ def _with_runs(docs: DataFrame) -> DataFrame:
         .union(more)
         .groupBy("doc_id", "check")
         .agg(F.collect_list("runs").alias("runs"))
+        .withColumnRenamed("doc_id", "key")
     )
-    return rows.join(runs, ["doc_id", "check"], "left").select("doc_id", "text", "runs")
+    found = F.when(F.col("doc_id").isNotNull(), F.col("runs")).alias("runs")
+    return rows.join(runs, ["key", "check"], "left").select("doc_id", "text", found)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
