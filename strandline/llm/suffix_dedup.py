@@ -7,12 +7,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from strandline.llm.bytetext import encoded, hashed, pieces, ragged, rolling
+from strandline.llm.bytetext import encoded, hashed, mixed, pieces, ragged, rolling
 from strandline.llm.repeats import LENGTH, Q, anchors, refined, surroundings
 from strandline.plans.storage import stored
 
 #: Anchors that one task compares, about, and that are compared where they are found.
-PART_ANCHORS = 2_000_000
+PART_ANCHORS = 1_000_000
 #: Stretches of text whose places one task refines, about.
 PART_ASKED = 40_000
 _PIECE = 1_000_000
@@ -21,7 +21,11 @@ _BLOCK = (
     "part int, doc_ids binary, checks binary, lengths binary, counts binary, before binary,"
     " after binary, around binary, width byte, places binary, runs binary, bounds binary"
 )
-_FOUND = "doc_id long, check long, runs binary, asked binary"
+_FOUND = (
+    "bucket int, doc_ids binary, checks binary, n_runs binary, runs binary, n_asked binary,"
+    " asked binary"
+)
+_BY_TEXT = "doc_id long, check long, runs binary, asked binary"
 
 
 def _packed(numbers: np.ndarray, width: int) -> bytes:
@@ -70,6 +74,69 @@ def _merged(
     return owner[first], begins[first], reach[last] - owner[first] * far
 
 
+def _dealt(
+    ids: np.ndarray,
+    checks: np.ndarray,
+    runs: tuple[np.ndarray, np.ndarray],
+    asked: tuple[np.ndarray, np.ndarray],
+    buckets: int,
+) -> pa.Table:
+    """What was found, with the documents' numbers, as one row for each bucket of documents."""
+    bucket = (mixed(ids.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    used = np.unique(np.concatenate((runs[0], asked[0])))
+    used = used[np.argsort(bucket[used], kind="stable")]
+    rank = np.zeros(len(ids), np.int64)
+    rank[used] = np.arange(len(used))
+    columns = {}
+    cuts = np.searchsorted(bucket[used], np.arange(buckets + 1))
+    full = np.flatnonzero(np.diff(cuts))
+    at = np.append(cuts[full], len(used))
+    columns["bucket"] = pa.array(full.astype(np.int32))
+    columns["doc_ids"] = _binary(ids[used].astype("<i8"), at)
+    columns["checks"] = _binary(checks[used].astype("<u4"), at)
+    for name, (owner, values) in (("runs", runs), ("asked", asked)):
+        order = np.argsort(rank[owner], kind="stable")
+        counts = np.bincount(rank[owner], minlength=len(used))
+        columns[f"n_{name}"] = _binary(counts.astype("<u4"), at)
+        width = values[0].size if len(values) else 1
+        begins = np.concatenate(([0], np.cumsum(counts)))[at] * width
+        columns[name] = _binary(values[order].astype("<u4").ravel(), begins)
+    return pa.table(columns)
+
+
+def _gathered(table: pa.Table) -> pa.Table:
+    """The parts' findings of a bucket: one row a text, its runs as unions."""
+
+    def joined(name: str, kind: str) -> np.ndarray:
+        raw = b"".join(table.column(name).to_pylist())
+        return np.frombuffer(raw, kind).astype(np.int64)
+
+    both = np.stack((joined("doc_ids", "<i8"), joined("checks", "<u4")))
+    texts, which = np.unique(both, axis=1, return_inverse=True)
+    which = which.ravel()
+    bounds = joined("runs", "<u4").reshape(-1, 2)
+    owner, begins, ends = _merged(
+        np.repeat(which, joined("n_runs", "<u4")), bounds[:, 0], bounds[:, 1]
+    )
+    asked = np.repeat(which, joined("n_asked", "<u4"))
+    order = np.argsort(asked, kind="stable")
+    every = np.arange(texts.shape[1] + 1)
+    return pa.table(
+        {
+            "doc_id": pa.array(texts[0]),
+            "check": pa.array(texts[1]),
+            "runs": _binary(
+                np.stack((begins, ends), axis=1).astype("<u4").ravel(),
+                2 * np.searchsorted(owner, every),
+            ),
+            "asked": _binary(
+                joined("asked", "<u4")[order].astype("<u4"),
+                np.searchsorted(asked[order], every),
+            ),
+        }
+    )
+
+
 class _Block:
     """Anchors of documents of one task, compared with each other before they are sent on."""
 
@@ -150,7 +217,7 @@ def _anchored(parts: int) -> Callable:
     return run
 
 
-def _compared(table: pa.Table) -> pa.Table:
+def _compared(table: pa.Table, buckets: int) -> pa.Table:
     """Of all anchors of a part: runs of documents found in a smaller one, and what is to be
     looked at in the text, as surroundings that differ may share a stretch."""
 
@@ -189,21 +256,8 @@ def _compared(table: pa.Table) -> pa.Table:
         _, which, several = np.unique(of_class, return_inverse=True, return_counts=True)
         shared |= several[which] > 1
     asked = np.flatnonzero(shared[member] & ~twice)
-    asked = asked[np.argsort(doc[asked], kind="stable")]
-
-    used = np.unique(np.concatenate((owner, doc[asked])))
-    runs = np.stack((begins, ends), axis=1).astype("<u4")
-    question = place[asked].astype("<u4")
-    at_runs = np.append(np.searchsorted(owner, used), len(owner))
-    at_asked = np.append(np.searchsorted(doc[asked], used), len(asked))
-    return pa.table(
-        {
-            "doc_id": pa.array(ids[used]),
-            "check": pa.array(checks[used]),
-            "runs": _binary(runs.ravel(), 2 * at_runs),
-            "asked": _binary(question, at_asked),
-        }
-    )
+    runs = np.stack((begins, ends), axis=1)
+    return _dealt(ids, checks, (owner, runs), (doc[asked], place[asked]), buckets)
 
 
 def _looked_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +265,7 @@ def _looked_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with_id = (batch.filter(batch.column("doc_id").is_valid()) for batch in batches)
     for batch in pieces(with_id, limit=_PIECE):
         data, places = encoded(batch.column("text"))
-        asked = [np.frombuffer(b"".join(x), "<u4") for x in batch.column("asked").to_pylist()]
+        asked = [np.frombuffer(raw, "<u4") for raw in batch.column("asked").to_pylist()]
         owner = np.repeat(np.arange(len(asked)), [len(x) for x in asked])
         at = np.concatenate(asked).astype(np.int64) + places[owner]
         begins, ends = surroundings(at, places[owner], places[owner + 1])
@@ -229,7 +283,7 @@ def _looked_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _refined(table: pa.Table) -> pa.Table:
+def _refined(table: pa.Table, buckets: int) -> pa.Table:
     table = table.combine_chunks()
     raw = table.column("bytes").to_pylist()
     data = np.frombuffer(b"".join(raw), np.uint8)
@@ -248,15 +302,9 @@ def _refined(table: pa.Table) -> pa.Table:
         live, text = live[twice], text[twice]
     at = live - places[text] + begin[text]
     text, begins, ends = _merged(text, at, at + LENGTH)
-    used = np.unique(text)
-    runs = np.stack((begins, ends), axis=1).astype("<u4")
-    return pa.table(
-        {
-            "doc_id": pa.array(ids[used]),
-            "check": pa.array(checks[used]),
-            "runs": _binary(runs.ravel(), 2 * np.append(np.searchsorted(text, used), len(text))),
-        }
-    )
+    nothing = np.zeros(0, np.int64)
+    runs = np.stack((begins, ends), axis=1)
+    return _dealt(ids, checks, (text, runs), (nothing, nothing), buckets)
 
 
 def _kept(batches: Iterable[pa.RecordBatch], describe: Callable) -> Iterator[pa.RecordBatch]:
@@ -318,33 +366,42 @@ def _with_runs(docs: DataFrame) -> DataFrame:
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # about one anchor in 18 bytes
     parts = max(1, -(-total // (16 * PART_ANCHORS)))
+
+    def by_text(found: DataFrame) -> DataFrame:
+        return found.groupBy("bucket").applyInArrow(_gathered, _BY_TEXT)
+
+    def compared(table: pa.Table) -> pa.Table:
+        return _compared(table, parts)
+
+    def refined(table: pa.Table) -> pa.Table:
+        return _refined(table, parts)
+
     found = stored(
-        rows.filter(f"doc_id is not null and octet_length(text) >= {LENGTH}")
-        .select("doc_id", "check", "text")
-        .mapInArrow(_anchored(parts), _BLOCK)
-        .groupBy("part")
-        .applyInArrow(_compared, _FOUND),
+        by_text(
+            rows.filter(f"doc_id is not null and octet_length(text) >= {LENGTH}")
+            .select("doc_id", "check", "text")
+            .mapInArrow(_anchored(parts), _BLOCK)
+            .groupBy("part")
+            .applyInArrow(compared, _FOUND)
+        ),
         "anchors",
     )
     asked = found.filter(F.octet_length("asked") > 0)
     # four bytes a question
     count = asked.agg(F.sum(F.octet_length("asked"))).first()[0] or 0
     groups = max(1, -(-count // (4 * PART_ASKED)))
-    by_text = asked.groupBy(F.col("doc_id").alias("key"), "check").agg(
-        F.collect_list("asked").alias("asked")
-    )
     looked_up = (
-        rows.join(by_text, ["key", "check"])
+        rows.join(asked.select(F.col("doc_id").alias("key"), "check", "asked"), ["key", "check"])
         .select("doc_id", "check", "text", "asked")
         .mapInArrow(_looked_up, "gram long, doc_id long, check long, begin long, bytes binary")
     )
-    more = looked_up.groupBy(F.pmod("gram", F.lit(groups)).alias("part")).applyInArrow(
-        _refined, "doc_id long, check long, runs binary"
+    more = by_text(
+        looked_up.groupBy(F.pmod("gram", F.lit(groups)).alias("part")).applyInArrow(refined, _FOUND)
     )
     runs = (
         found.filter(F.octet_length("runs") > 0)
         .select("doc_id", "check", "runs")
-        .union(more)
+        .union(more.select("doc_id", "check", "runs"))
         .groupBy("doc_id", "check")
         .agg(F.collect_list("runs").alias("runs"))
         .withColumnRenamed("doc_id", "key")
