@@ -1,12 +1,20 @@
 """Genome depth, its statistics, windows and multi-resolution summaries."""
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandline.functions.alignment import DEPTH_CLASSES, reference_length
 from strandline.functions.sequence import ratio
 from strandline.operators.alignments import mapped_only
 
 TILE = 100_000
+#: Figures that reports write with a decimal point (a fixed format).
+DECIMAL_FIGURES = (
+    "mean_coverage",
+    "median_coverage",
+    "max_coverage",
+    "min_coverage",
+    "std_coverage",
+)
 
 
 def aligned_intervals(alignments: DataFrame) -> DataFrame:
@@ -202,37 +210,70 @@ def depth_classes(depth: DataFrame) -> DataFrame:
     return depth_histogram(depth).groupBy("sample_id").agg(*columns)
 
 
-def stats_as_text(stats: DataFrame, key: str = "sample_id") -> DataFrame:
-    """A row of figures as map<string,string>, the form reports are exchanged in."""
+def depth_report(depth: DataFrame, samples: DataFrame | None = None) -> DataFrame:
+    """Interval statistics and class counts of each sample as one map of text."""
+    stats = depth_stats(depth, samples).drop("covered_bases", "weighted_mean_depth")
+    classes = depth_classes(depth)
+    counts = [name for name in classes.columns if name != "sample_id"]
+    return stats_as_text(stats.join(classes, "sample_id", "left").fillna(0, counts))
+
+
+def stats_as_text(
+    stats: DataFrame, key: str = "sample_id", decimal: tuple[str, ...] = DECIMAL_FIGURES
+) -> DataFrame:
+    """A row of figures as map<string,string>, the form reports are exchanged in.
+
+    Figures named in ``decimal`` are written with a decimal point even where they
+    are whole; counts stay whole, and null is ``nan``.
+    """
+    names = [name for name in stats.columns if name != key]
     return stats.select(
         key,
         F.map_from_arrays(
-            F.array(*[F.lit(c) for c in stats.columns if c != key]),
+            F.array(*[F.lit(name) for name in names]),
             F.array(
                 *[
-                    F.coalesce(F.col(c).cast("string"), F.lit("nan"))
-                    for c in stats.columns
-                    if c != key
+                    F.coalesce(
+                        _decimal_text(F.col(name))
+                        if name in decimal
+                        else F.col(name).cast("string"),
+                        F.lit("nan"),
+                    )
+                    for name in names
                 ]
             ),
         ).alias("stats"),
     )
 
 
+def _decimal_text(figure: Column) -> Column:
+    """Shortest decimal digits of a double, plain up to 10**16."""
+    value = figure.cast("double")
+    whole = (F.floor(value) == value) & (F.abs(value) < 1e16)
+    plain = F.concat(value.cast("decimal(17,0)").cast("string"), F.lit(".0"))
+    return F.when(whole, plain).otherwise(value.cast("string"))
+
+
 def depth_windows(
-    depth: DataFrame, width: int = 1000, chrom_sizes: DataFrame | None = None
+    depth: DataFrame,
+    width: int = 1000,
+    chrom_sizes: DataFrame | None = None,
+    samples: DataFrame | None = None,
 ) -> DataFrame:
     """Depth summed over fixed windows.
 
     Without ``chrom_sizes`` only windows that hold depth appear and the mean is
-    taken over ``width`` bases.  With it, every window of a contig on which the
-    sample has depth appears, and the last one is as short as the contig's end.
+    taken over ``width`` bases.  With it, every window of every contig of the index
+    appears for every sample (of ``samples``, or those with depth), the last one is
+    as short as the contig's end, and depth outside the contigs does not count; see
+    ``on_unknown_contigs``.
     """
     width = int(width)
     where = ["sample_id", "chrom"]
     low = F.expr(f"window_idx * {width}")
     high = F.expr(f"(window_idx + 1) * {width}")
-    pieces = depth.select(
+    counted = depth if chrom_sizes is None else on_known_contigs(depth, chrom_sizes)
+    pieces = counted.select(
         *where,
         "start",
         "end",
@@ -248,11 +289,15 @@ def depth_windows(
         F.min("depth").alias("min_depth"),
     )
     if chrom_sizes is not None:
+        # The index has one short row per contig; each sample gets all of them.
+        contigs = chrom_sizes.filter(F.col("length") > 0).agg(
+            F.collect_list(F.struct("chrom", "length"))
+        )
         grid = (
-            depth.select(*where)
+            (depth if samples is None else samples)
+            .select("sample_id")
             .distinct()
-            .join(chrom_sizes.select("chrom", "length"), "chrom")
-            .filter(F.col("length") > 0)
+            .select("sample_id", F.inline(contigs.scalar()))
             .select(
                 *where,
                 "length",
@@ -324,13 +369,22 @@ def signal_levels(
 
 
 def on_known_contigs(depth: DataFrame, chrom_sizes: DataFrame) -> DataFrame:
-    """Depth on contigs of the index; only that may enter a signal track."""
-    return depth.join(chrom_sizes.select("chrom"), "chrom", "left_semi").select(
-        *depth.columns
+    """Depth inside the contigs of the index; only that may enter a signal track."""
+    sizes = chrom_sizes.select("chrom", F.col("length").alias("_length"))
+    return (
+        depth.join(sizes, "chrom")
+        .withColumn("end", F.least("end", "_length"))
+        .filter(F.col("start") < F.col("end"))
+        .select(*depth.columns)
     )
 
 
 def on_unknown_contigs(depth: DataFrame, chrom_sizes: DataFrame) -> DataFrame:
-    return depth.join(chrom_sizes.select("chrom"), "chrom", "left_anti").select(
-        *depth.columns
+    """The rest: depth on contigs that the index lacks, and past a contig's end."""
+    sizes = chrom_sizes.select("chrom", F.col("length").alias("_length"))
+    return (
+        depth.join(sizes, "chrom", "left")
+        .withColumn("start", F.greatest("start", "_length"))
+        .filter(F.col("start") < F.col("end"))
+        .select(*depth.columns)
     )

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from strandline.operators import accounting, alignments, depth, placement, reads
@@ -37,7 +38,6 @@ class Options:
     signal_levels: int = 5
     max_mismatches: int = 2
     seed_length: int = 16
-    max_read_length: int = 300
     trim_tails: bool = False
     read_limits: dict = field(default_factory=dict)
     write_fastq: bool = False
@@ -78,7 +78,9 @@ class Run:
         return self.spark.read.parquet(self.path(name))
 
     def ledger(self) -> DataFrame:
-        return self.spark.read.schema(LEDGER).parquet(self.path("ledger"))
+        """The rows of this run; a folder may hold other runs' too."""
+        rows = self.spark.read.schema(LEDGER).parquet(self.path("ledger"))
+        return rows.filter(F.col("run_id") == self.run_id)
 
     def record(
         self, stage: str, samples: DataFrame, status: Column, error: Column, begun: float
@@ -93,16 +95,15 @@ class Run:
             F.timestamp_micros(F.lit(int(begun * 1e6))).alias("started_at"),
             F.lit(time.time() - begun).alias("execution_time"),
         )
-        rows.select(*[name for name in LEDGER.names if name != "stage"]).write.mode(
-            "overwrite"
-        ).parquet(f"{self.path('ledger')}/stage={stage}")
+        place = f"{self.path('ledger')}/run_id={self.run_id}/stage={stage}"
+        rows.drop("run_id", "stage").write.mode("overwrite").parquet(place)
 
     def successes(self, stage: str) -> DataFrame:
         return accounting.successful(
             self.ledger().filter(F.col("stage") == stage)
         ).select("sample_id")
 
-    def record_error(self, stage: str, error: str) -> None:
+    def record_error(self, stage: str, error: str, begun: float) -> None:
         """Ledger rows for the samples that reached a stage that broke off."""
         previous = {
             ALIGNMENT: PREPROCESSING,
@@ -115,7 +116,7 @@ class Run:
                 self.successes(previous[stage]),
                 F.lit(accounting.ERROR),
                 F.lit(error),
-                self.started_at,
+                begun,
             )
 
     # The stages
@@ -130,16 +131,17 @@ class Run:
             (SAM_PROCESSING, self.process_alignments),
             (COVERAGE, self.cover),
         ]
-        name = None
+        name, begun = None, self.started_at
         try:
             for name, stage in stages:
+                begun = time.time()
                 stage()
                 if name != COVERAGE and self.successes(name).isEmpty():
                     status, error = "stopped", f"no sample passed {name}"
                     break
         except Exception as reason:
             status, error = "failed", str(reason)
-            self.record_error(name, error)
+            self.record_error(name, error, begun)
             raise
         finally:
             self.finish(status, error)
@@ -161,9 +163,9 @@ class Run:
             breakdown = accounting.status_breakdown(self.ledger())
             summary = summary.unionByName(per_stage, allowMissingColumns=True)
             tables.write_json(breakdown, self.path("reports/status_breakdown"))
-        except Exception:
+        except AnalysisException as reason:
             # No stage has written a ledger yet, so the run row stands alone.
-            if status != "failed":
+            if status != "failed" or reason.getCondition() != "PATH_NOT_FOUND":
                 raise
         tables.write_json(summary, self.path("reports/run"))
 
@@ -218,7 +220,14 @@ class Run:
             reads.duplication_rate(untouched), f"{report}/duplication"
         )
 
-        status = self.load("manifest").join(broken, "sample_id", "left")
+        unpaired = manifest.fastq_orphans(self.spark, self.reads_dir).select(
+            "sample_id", "r1_path", "r1_bytes", F.lit("no file of mate 2").alias("error")
+        )
+        status = (
+            self.load("manifest")
+            .join(broken, "sample_id", "left")
+            .unionByName(unpaired, allowMissingColumns=True)
+        )
         failed = F.col("error").isNotNull()
         outcome = F.when(failed, accounting.FAILED).otherwise(accounting.SUCCESS)
         result = accounting.with_stage_result(
@@ -241,7 +250,7 @@ class Run:
         """Best placement of every clean read, as alignment records."""
         begun = time.time()
         clean = self.load("reads_clean")
-        margin = self.options.max_read_length
+        margin = placement.longest_read(clean)
         tiles = fasta.read_fasta_tiles(
             self.spark, self.reference, self.index, margin=margin
         )
@@ -264,8 +273,7 @@ class Run:
         kept = alignments.filter_alignments(
             records, options.mapq_threshold, options.remove_duplicates
         )
-        ordered = alignments.coordinate_sort(kept, sizes, options.contig_order)
-        sam.write_alignment_store(ordered, self.path("sorted_alignments"))
+        sam.write_alignment_store(kept, self.path("sorted_alignments"))
         if options.write_sam:
             sam.write_sam(
                 alignments.coordinate_sort(records, sizes, options.contig_order),
@@ -287,13 +295,20 @@ class Run:
         runs = self.save(depth.genome_depth(records), "depth")
         sizes = fasta.read_fai(self.spark, self.index)
         known = depth.on_known_contigs(runs, sizes)
+        reached = self.successes(SAM_PROCESSING)
         tables.write_bedgraph(runs, self.path("coverage"))
-        self.save(depth.depth_windows(known, options.window_size, sizes), "windows")
+        windows = depth.depth_windows(runs, options.window_size, sizes, reached)
+        self.save(windows, "windows")
+        tables.write_json(
+            depth.on_unknown_contigs(runs, sizes), self.path("reports/outside_contigs")
+        )
         tables.write_signal(
             depth.signal_levels(known, options.window_size, levels=options.signal_levels),
             self.path("signal"),
         )
-        reached = self.successes(SAM_PROCESSING)
+        tables.write_json(
+            depth.depth_report(runs, reached), self.path("reports/depth"), by_sample=True
+        )
         tables.write_json(
             depth.depth_stats(runs, reached), self.path("reports/depth_stats")
         )

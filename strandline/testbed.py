@@ -7,12 +7,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandline.operators.reads import split_pairs
 
-LETTERS = "abcdefghijklmnopqrstuvwxyz"
-BASES = "ACGTACGTACGTACGTACGTACGTAC"
-QUALITIES = "#5?+F-%B9C7#DE$<&2;:@8>!=4"
+# Each character of a text is one base: a letter its own, "_" stands for any other.
+LETTERS = "abcdefghijklmnopqrstuvwxyz_"
+BASES = "ACGTACGTACGTACGTACGTACGTACG"
+QUALITIES = "#5?+F-%B9C7#DE$<&2;:@8>!=4I"
 
 READ_LENGTH = 100
-PAIR_STRIDE = 220
+PAIR_STRIDE = 150
+PAIR_SHIFT = 60
 
 # Tie-break of records whose input order is equal in the source table.
 RECORD_ORDER = ("ordinal", "flag", "mapq", "cigar", "rnext")
@@ -46,16 +48,23 @@ SQL_VIEWS = {
                translate(letters, '{LETTERS}', '{BASES}') AS seq,
                translate(letters, '{LETTERS}', '{QUALITIES}') AS qual
         FROM (SELECT doc_id, lang,
-                     regexp_replace(lower(text), '[^a-z]', ''{{global}}) AS letters
+                     regexp_replace(lower(text), '[^a-z]', '_'{{global}}) AS letters
               FROM documents)""",
     "contigs": """
         SELECT CAST(doc_id AS VARCHAR) AS chrom, CAST(doc_id AS BIGINT) AS chrom_idx,
                CAST(length(seq) AS BIGINT) AS length, seq
         FROM sequences""",
+    # One contig ends inside the data, one beyond, one has none, and chr3 is missing.
     "chrom_sizes": """
-        SELECT 'chr' || CAST(r_regionkey * 2 AS VARCHAR) AS chrom,
-               CAST(40000 + r_regionkey * 25000 AS BIGINT) AS length,
-               CAST(r_regionkey AS BIGINT) AS chrom_idx
+        SELECT chrom,
+               CAST(CASE chrom WHEN 'chr1' THEN last WHEN 'chr2' THEN floor(last / 2)
+                               ELSE last + 500 END AS BIGINT) AS length,
+               CAST(CASE chrom WHEN 'chr4' THEN 0 WHEN 'chr2' THEN 1 ELSE 3 END AS BIGINT)
+                   AS chrom_idx
+        FROM (SELECT chrom, max(pos0 + span) AS last FROM alignments GROUP BY chrom)
+        WHERE chrom <> 'chr3'
+        UNION ALL
+        SELECT 'chr9', CAST(2500 + max(r_regionkey) AS BIGINT), CAST(2 AS BIGINT)
         FROM region""",
     "ledger": """
         SELECT CAST(o_orderkey AS VARCHAR) AS sample_id, o_orderpriority AS stage,
@@ -78,28 +87,38 @@ _READS = f"""
                CAST(doc_id * 1000000 + i AS BIGINT) AS ordinal
         FROM ({{numbered}})"""
 
-# Mate 1 of every other pair carries one substitution.
+# A text is cut into inserts, all of it, and each insert is read from both ends, so far that
+# the mates overlap.  Mate 1 of every other pair carries one substitution.
+_CUT = f"({PAIR_STRIDE} * {{i}} + (7 * doc_id + 13 * {{i}}) % {PAIR_SHIFT})"
 _PAIRS = f"""
         SELECT lang AS sample_id,
                CAST(doc_id AS VARCHAR) || '_' || CAST(i AS VARCHAR) AS read_id,
                CASE WHEN (doc_id + i) % 2 = 0
                     THEN substr(insert_seq, 1, err)
                          || translate(substr(insert_seq, err + 1, 1), 'ACGT', 'CGTA')
-                         || substr(insert_seq, err + 2, {READ_LENGTH} - 1 - err)
-                    ELSE substr(insert_seq, 1, {READ_LENGTH}) END AS seq1,
-               substr(insert_qual, 1, {READ_LENGTH}) AS qual1,
-               reverse(translate(substr(insert_seq, length(insert_seq) - {READ_LENGTH - 1},
-                                        {READ_LENGTH}), 'ACGT', 'TGCA')) AS seq2,
-               reverse(substr(insert_qual, length(insert_qual) - {READ_LENGTH - 1},
-                              {READ_LENGTH})) AS qual2
-        FROM (SELECT doc_id, lang, i, CAST((13 * i + doc_id) % {READ_LENGTH} AS INTEGER) AS err,
-                     CAST(substr(seq, CAST(i * {PAIR_STRIDE} + 1 AS INTEGER),
-                                 CAST(100 + (7 * doc_id + 13 * i) % 120 AS INTEGER))
-                          AS VARCHAR) AS insert_seq,
-                     CAST(substr(qual, CAST(i * {PAIR_STRIDE} + 1 AS INTEGER),
-                                 CAST(100 + (7 * doc_id + 13 * i) % 120 AS INTEGER))
-                          AS VARCHAR) AS insert_qual
-              FROM ({{numbered}}))"""
+                         || substr(insert_seq, err + 2, size - 1 - err)
+                    ELSE substr(insert_seq, 1, size) END AS seq1,
+               substr(insert_qual, 1, size) AS qual1,
+               reverse(translate(substr(insert_seq, whole - size + 1, size),
+                                 'ACGT', 'TGCA')) AS seq2,
+               reverse(substr(insert_qual, whole - size + 1, size)) AS qual2
+        FROM (SELECT *, CAST((13 * i + doc_id) % size AS INTEGER) AS err
+              FROM (SELECT *, CAST(length(insert_seq) AS INTEGER) AS whole,
+                           CAST(ceil(length(insert_seq) * 0.65) AS INTEGER) AS size
+                    FROM (SELECT doc_id, lang, i,
+                                 CAST(substr(seq, CAST(low + 1 AS INTEGER),
+                                             CAST(high - low AS INTEGER)) AS VARCHAR)
+                                     AS insert_seq,
+                                 CAST(substr(qual, CAST(low + 1 AS INTEGER),
+                                             CAST(high - low AS INTEGER)) AS VARCHAR)
+                                     AS insert_qual
+                          FROM (SELECT *,
+                                       CASE WHEN i = 0 THEN 0 ELSE {_CUT.format(i="i")} END
+                                           AS low,
+                                       CASE WHEN i + 1 >= floor(length(seq) / {PAIR_STRIDE}.0)
+                                            THEN length(seq)
+                                            ELSE {_CUT.format(i="(i + 1)")} END AS high
+                                FROM ({{numbered}})))))"""
 
 _MATES = """
         SELECT sample_id, read_id, CAST(1 AS TINYINT) AS mate, seq1 AS seq, qual1 AS qual
@@ -127,7 +146,10 @@ def view_sql(name: str, spark: bool = False) -> str:
         count = f"ceil(length(seq) / {READ_LENGTH}.0)"
         return _READS.format(numbered=_number(count, spark))
     if name == "read_pairs":
-        count = f"floor(length(seq) / {PAIR_STRIDE}.0)"
+        count = (
+            f"CASE WHEN length(seq) > 0"
+            f" THEN greatest(1, floor(length(seq) / {PAIR_STRIDE}.0)) ELSE 0 END"
+        )
         return _PAIRS.format(numbered=_number(count, spark))
     if name == "mates":
         return _MATES
@@ -139,6 +161,7 @@ def view_sql(name: str, spark: bool = False) -> str:
 
 # Views that a view reads.
 DEPENDENCIES = {
+    "chrom_sizes": ("alignments",),
     "contigs": ("sequences",),
     "reads": ("sequences",),
     "read_pairs": ("sequences",),
@@ -174,7 +197,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         sql = view_sql(each, spark=True).replace("VARCHAR", "STRING")
         parts.append(f"{each} AS ({sql})")
     tables = {
-        table: spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+        table: spark.read.parquet(f"{sf_dir}/{table}.parquet")
         for table in SOURCE_TABLES
         if any(f"FROM {table}" in part for part in parts)
     }
@@ -184,14 +207,6 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(f"WITH {ctes}\nSELECT * FROM {name}", **tables)
 
 
-def spread(table: DataFrame) -> DataFrame:
-    """Spread a table that arrives in fewer pieces than there are task slots."""
-    slots = table.sparkSession.sparkContext.defaultParallelism
-    if table.rdd.getNumPartitions() >= slots:
-        return table
-    return table.repartition(slots, table.columns[0])
-
-
 def write_fasta(contigs: DataFrame, path: str, width: int = 60) -> None:
     """Contigs as FASTA text; each file has its contigs in order."""
     wrapped = F.regexp_replace("seq", f"(.{{{width}}})(?=.)", "$1\n")

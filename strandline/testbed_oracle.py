@@ -122,6 +122,7 @@ def _over_pairs(select: str) -> str:
 
 
 # All placements with few mismatches: m + 1 disjoint blocks, one of them is clean.
+_BLOCK = f"least({SEED}, length(q) // {MAX_MISMATCHES + 1})"
 _PLACED = f"""
 queries AS (SELECT DISTINCT seq FROM mates),
 oriented AS (
@@ -129,16 +130,17 @@ oriented AS (
     UNION ALL
     SELECT seq, '-', reverse(translate(seq, 'ACGT', 'TGCA')) FROM queries),
 seeds AS (
-    SELECT *, substr(q, CAST(b * {SEED} + 1 AS INTEGER), {SEED}) AS kmer
+    SELECT *, substr(q, CAST(b * {_BLOCK} + 1 AS INTEGER), CAST({_BLOCK} AS INTEGER)) AS kmer,
+           {_BLOCK} AS size
     FROM (SELECT *, unnest(range({MAX_MISMATCHES + 1})) AS b FROM oriented)),
 kmers AS (
-    SELECT chrom_idx, p, substr(seq, CAST(p + 1 AS INTEGER), {SEED}) AS kmer
-    FROM (SELECT chrom_idx, seq, unnest(range(length - {SEED - 1})) AS p FROM contigs
-          WHERE length >= {SEED})),
+    SELECT chrom_idx, p, size, substr(seq, CAST(p + 1 AS INTEGER), CAST(size AS INTEGER)) AS kmer
+    FROM (SELECT chrom_idx, seq, size, unnest(range(length - size + 1)) AS p
+          FROM contigs, (SELECT DISTINCT size FROM seeds) WHERE length >= size)),
 proposed AS (
-    SELECT DISTINCT s.seq, s.strand, s.q, k.chrom_idx, k.p - s.b * {SEED} AS pos0
-    FROM seeds s JOIN kmers k USING (kmer)
-    WHERE k.p >= s.b * {SEED}),
+    SELECT DISTINCT s.seq, s.strand, s.q, k.chrom_idx, k.p - s.b * s.size AS pos0
+    FROM seeds s JOIN kmers k USING (kmer, size)
+    WHERE k.p >= s.b * s.size),
 hits AS (
     SELECT o.seq, o.strand, c.chrom, o.chrom_idx, o.pos0,
            hamming(o.q, substr(c.seq, CAST(o.pos0 + 1 AS INTEGER), length(o.q))) AS mm
@@ -185,20 +187,32 @@ ORACLE: dict[str, str] = {
                coalesce(max(depth), 0) AS max_coverage,
                coalesce(min(depth), 0) AS min_coverage,
                CAST(count(depth) AS BIGINT) AS bases_with_coverage
-        FROM (SELECT DISTINCT sample_id FROM alignments) s
-        LEFT JOIN (SELECT * FROM depth WHERE depth >= 20) d USING (sample_id)
+        FROM (SELECT sample_id FROM alignments UNION SELECT r_name FROM region) s
+        LEFT JOIN depth d USING (sample_id)
         GROUP BY s.sample_id"""),
     "depth_stats_text": _over_depth("""
         SELECT sample_id, name, value FROM (
-            SELECT sample_id, 'total_regions' AS name, CAST(count(*) AS VARCHAR) AS value
-            FROM depth GROUP BY sample_id
-            UNION ALL
-            SELECT sample_id, 'total_bases_covered',
-                   CAST(CAST(sum(depth) AS BIGINT) AS VARCHAR)
-            FROM depth GROUP BY sample_id
-            UNION ALL
-            SELECT sample_id, 'max_coverage', CAST(max(depth) AS VARCHAR)
-            FROM depth GROUP BY sample_id)"""),
+            UNPIVOT (
+                SELECT sample_id, CAST(count(*) AS VARCHAR) AS total_regions,
+                       CAST(CAST(sum(depth) AS DOUBLE) / count(*) AS VARCHAR) AS mean_coverage,
+                       CAST(CAST(median(depth) AS DOUBLE) AS VARCHAR) AS median_coverage,
+                       CAST(CAST(max(depth) AS DOUBLE) AS VARCHAR) AS max_coverage,
+                       CAST(CAST(min(depth) AS DOUBLE) AS VARCHAR) AS min_coverage,
+                       CAST(CAST(sum(depth) AS BIGINT) AS VARCHAR) AS total_bases_covered,
+                       CAST(count(*) FILTER (WHERE depth > 0) AS VARCHAR)
+                           AS bases_with_coverage,
+                       CAST(count(*) FILTER (WHERE depth < 1) AS VARCHAR)
+                           AS no_coverage_regions,
+                       CAST(count(*) FILTER (WHERE depth >= 1 AND depth < 10) AS VARCHAR)
+                           AS low_coverage_regions,
+                       CAST(count(*) FILTER (WHERE depth >= 10 AND depth < 50) AS VARCHAR)
+                           AS medium_coverage_regions,
+                       CAST(count(*) FILTER (WHERE depth >= 50 AND depth < 100) AS VARCHAR)
+                           AS high_coverage_regions,
+                       CAST(count(*) FILTER (WHERE depth >= 100) AS VARCHAR)
+                           AS very_high_coverage_regions
+                FROM depth GROUP BY sample_id)
+            ON COLUMNS(* EXCLUDE sample_id) INTO NAME name VALUE value)"""),
     "depth_classes": _over_depth("""
         SELECT sample_id,
                CAST(count(*) FILTER (WHERE depth < 1) AS BIGINT) AS no_coverage_regions,
@@ -220,22 +234,25 @@ ORACLE: dict[str, str] = {
                round(CAST(sum(depth * bases) AS DOUBLE) / 1000, 6) AS mean_depth
         FROM ({_windows(1000)}) GROUP BY sample_id, chrom, window_idx"""),
     "depth_windows_all": _over_depth(
-        f"""
+        """
         SELECT g.sample_id, g.chrom, CAST(g.w * 700 AS BIGINT) AS window_start,
-               CAST(least(g.length, (g.w + 1) * 700) AS BIGINT) AS window_end,
-               CAST(coalesce(sum(bases), 0) AS BIGINT) AS covered_bases,
-               CAST(coalesce(sum(depth * bases), 0) AS BIGINT) AS depth_sum,
+               CAST(g.high AS BIGINT) AS window_end,
+               CAST(coalesce(sum(least("end", g.high) - greatest("start", g.w * 700))
+                             FILTER (WHERE depth IS NOT NULL), 0) AS BIGINT) AS covered_bases,
+               CAST(coalesce(sum(depth * (least("end", g.high) - greatest("start", g.w * 700))),
+                             0) AS BIGINT) AS depth_sum,
                coalesce(min(depth), 0) AS min_depth, coalesce(max(depth), 0) AS max_depth,
-               round(CAST(coalesce(sum(depth * bases), 0) AS DOUBLE)
-                     / CAST(least(g.length, (g.w + 1) * 700) - g.w * 700 AS DOUBLE), 6)
-                   AS mean_depth
-        FROM (SELECT sample_id, chrom, length,
-                     unnest(range((length - 1) // 700 + 1)) AS w
-              FROM (SELECT DISTINCT sample_id, chrom FROM depth)
-              JOIN chrom_sizes USING (chrom)) g
-        LEFT JOIN ({_windows(700)}) d
-            ON d.sample_id = g.sample_id AND d.chrom = g.chrom AND d.window_idx = g.w
-        GROUP BY g.sample_id, g.chrom, g.w, g.length""",
+               round(CAST(coalesce(sum(depth * (least("end", g.high)
+                                                - greatest("start", g.w * 700))), 0) AS DOUBLE)
+                     / CAST(g.high - g.w * 700 AS DOUBLE), 6) AS mean_depth
+        FROM (SELECT *, least(length, (w + 1) * 700) AS high
+              FROM (SELECT sample_id, chrom, length,
+                           unnest(range((length - 1) // 700 + 1)) AS w
+                    FROM (SELECT DISTINCT sample_id FROM alignments), chrom_sizes)) g
+        LEFT JOIN depth d
+            ON d.sample_id = g.sample_id AND d.chrom = g.chrom
+               AND d."start" < g.high AND d."end" > g.w * 700
+        GROUP BY g.sample_id, g.chrom, g.w, g.high""",
         "chrom_sizes",
     ),
     "signal_levels": _over_depth(f"""
@@ -249,11 +266,15 @@ ORACLE: dict[str, str] = {
         CROSS JOIN (VALUES (0, 1), (1, 4), (2, 16), (3, 64), (4, 256)) AS l(level, f)
         GROUP BY sample_id, chrom, level, f, window_idx // f"""),
     "known_contigs": _over_depth(
-        "SELECT * FROM depth WHERE chrom IN (SELECT chrom FROM chrom_sizes)",
+        """SELECT sample_id, chrom, "start", least("end", length) AS "end", depth
+        FROM depth JOIN chrom_sizes USING (chrom) WHERE "start" < length""",
         "chrom_sizes",
     ),
     "unknown_contigs": _over_depth(
-        "SELECT * FROM depth WHERE chrom NOT IN (SELECT chrom FROM chrom_sizes)",
+        """SELECT sample_id, chrom, greatest("start", coalesce(length, 0)) AS "start", "end",
+               depth
+        FROM depth LEFT JOIN chrom_sizes USING (chrom)
+        WHERE length IS NULL OR "end" > length""",
         "chrom_sizes",
     ),
     "flagstat": with_views(
@@ -441,14 +462,18 @@ ORACLE: dict[str, str] = {
         "read_pairs",
     ),
     "exact_placement": with_views(
-        """, kmers AS (
-            SELECT chrom_idx, p, substr(seq, CAST(p + 1 AS INTEGER), 15) AS kmer
-            FROM (SELECT chrom_idx, seq, unnest(range(length - 14)) AS p FROM contigs
-                  WHERE length >= 15)),
+        """, starts AS (
+            SELECT DISTINCT seq, substr(seq, 1, 15) AS kmer,
+                   length(substr(seq, 1, 15)) AS size
+            FROM reads WHERE length(seq) > 0),
+        kmers AS (
+            SELECT chrom_idx, p, size,
+                   substr(seq, CAST(p + 1 AS INTEGER), CAST(size AS INTEGER)) AS kmer
+            FROM (SELECT chrom_idx, seq, size, unnest(range(length - size + 1)) AS p
+                  FROM contigs, (SELECT DISTINCT size FROM starts) WHERE length >= size)),
         hits AS (
             SELECT r.seq, c.chrom, k.chrom_idx, k.p
-            FROM (SELECT DISTINCT seq FROM reads WHERE length(seq) >= 15) r
-            JOIN kmers k ON k.kmer = substr(r.seq, 1, 15)
+            FROM starts r JOIN kmers k USING (kmer, size)
             JOIN contigs c USING (chrom_idx)
             WHERE substr(c.seq, CAST(k.p + 1 AS INTEGER), length(r.seq)) = r.seq),
         summed AS (
@@ -456,10 +481,8 @@ ORACLE: dict[str, str] = {
                    min(CAST(chrom_idx AS BIGINT) * 1000000000 + p) AS first
             FROM hits GROUP BY seq)
         SELECT r.sample_id, r.read_id, r.mate,
-               CASE WHEN length(r.seq) >= 15 THEN CAST(coalesce(n_hits, 0) AS BIGINT) END
-                   AS n_hits,
-               CASE WHEN length(r.seq) >= 15 THEN CAST(coalesce(n_contigs, 0) AS BIGINT) END
-                   AS n_contigs,
+               CAST(coalesce(n_hits, 0) AS BIGINT) AS n_hits,
+               CAST(coalesce(n_contigs, 0) AS BIGINT) AS n_contigs,
                CAST(first // 1000000000 AS VARCHAR) AS chrom,
                CAST(first % 1000000000 AS BIGINT) AS pos0
         FROM reads r LEFT JOIN summed USING (seq)""",

@@ -39,8 +39,11 @@ def test_stats_of_little(spark):
     assert rows["none"].total_regions == 0 and rows["none"].mean_coverage is None
     filled = {r.sample_id: r for r in D.depth_stats_filled(one, everyone).collect()}
     assert filled["none"].mean_coverage == 0 and filled["none"].max_coverage == 0
-    text = D.stats_as_text(D.depth_stats(one)).first().stats
+    text = D.depth_report(one).first().stats
     assert text["total_regions"] == "1" and text["std_coverage"] == "nan"
+    assert text["max_coverage"] == "10.0" and text["medium_coverage_regions"] == "1"
+    million = spark.createDataFrame([("s", "c", 0, 1, 10_000_000)], BEDGRAPH)
+    assert D.depth_report(million).first().stats["mean_coverage"] == "10000000.0"
 
 
 def random_spans(seed, count=400, length=300):
@@ -107,19 +110,32 @@ def test_windows_and_levels(spark):
     spans = random_spans(6)
     base = brute_depth(spans)
     runs = D.interval_depth(spark.createDataFrame(spans, SPANS))
-    sizes = spark.createDataFrame([("c1", 333, 0)], "chrom string, length long, chrom_idx long")
-    known = D.on_known_contigs(runs, sizes).filter("end <= 333")
-    for r in D.depth_windows(known, 50, sizes).collect():
+    length = 233  # inside the data
+    sizes = spark.createDataFrame(
+        [("c1", length, 0), ("c3", 120, 1)], "chrom string, length long, chrom_idx long"
+    )
+    samples = spark.createDataFrame([("a",), ("b",), ("none",)], "sample_id string")
+    windows = D.depth_windows(runs, 50, sizes, samples).collect()
+    assert len(windows) == 3 * (5 + 3)
+    for r in windows:
+        end = {"c1": length, "c3": 120}[r.chrom]
+        assert r.window_end - r.window_start == min(50, end - r.window_start)
         inside = [
             base.get((r.sample_id, r.chrom, at), 0)
             for at in range(r.window_start, r.window_end)
         ]
-        assert r.window_end - r.window_start == min(50, 333 - r.window_start)
-        if r.window_end < 300:
-            assert r.depth_sum == sum(inside)
-            assert r.covered_bases == sum(1 for d in inside if d)
-            assert r.max_depth == max(inside)
-            assert r.mean_depth == pytest.approx(sum(inside) / len(inside))
+        assert r.depth_sum == sum(inside)
+        assert r.covered_bases == sum(1 for d in inside if d)
+        assert r.max_depth == max(inside)
+        assert r.mean_depth == pytest.approx(sum(inside) / len(inside))
+    outside = {
+        (r.sample_id, r.chrom, at): r.depth
+        for r in D.on_unknown_contigs(runs, sizes).collect()
+        for at in range(r.start, r.end)
+    }
+    assert outside == {
+        key: d for key, d in base.items() if key[1] != "c1" or key[2] >= length
+    }
     for r in D.signal_levels(runs, 10, 4, 3).collect():
         inside = [
             base.get((r.sample_id, r.chrom, at), 0) for at in range(r.bin_start, r.bin_end)
@@ -127,4 +143,3 @@ def test_windows_and_levels(spark):
         assert r.bin_end - r.bin_start == 10 * 4**r.level
         assert (r.sum, r.covered) == (sum(inside), sum(1 for d in inside if d))
         assert (r.min, r.max) == (min(d for d in inside if d), max(inside))
-    assert D.on_unknown_contigs(runs, sizes).filter("chrom = 'c1'").isEmpty()

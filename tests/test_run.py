@@ -77,11 +77,14 @@ def test_run(spark, files, tmp_path, rows):
     )
     accounting = {row.stage: row for row in run.execute().collect()}
     assert accounting["preprocessing"].success_count == 3
-    assert accounting["preprocessing"].total_count == 4
+    assert accounting["preprocessing"].total_count == 5
     assert accounting["coverage"].success_count == 3
     ledger = rows(run.ledger().filter("status <> 'success'"), "stage", "sample_id", "error")
-    assert [row[:2] for row in ledger] == [("preprocessing", "broken")]
-    assert "orphan" not in {row.sample_id for row in run.ledger().collect()}
+    assert [row[:2] for row in ledger] == [
+        ("preprocessing", "broken"),
+        ("preprocessing", "orphan"),
+    ]
+    assert ledger[1][2] == "no file of mate 2"
 
     placed = run.load("alignments").collect()
     assert len(placed) == 2 * (120 + 120 + 30)
@@ -134,6 +137,31 @@ def test_run(spark, files, tmp_path, rows):
     assert states["run"] == "completed" and len(states) == 5
 
 
+def test_runs_in_one_folder_keep_apart(spark, files, tmp_path):
+    folder, _, _ = files
+    good, bad = tmp_path / "good", tmp_path / "bad"
+    for place, text in ((good, None), (bad, "@a\nACGT\n+\nII\n")):
+        place.mkdir()
+        for mate in (1, 2):
+            own = text or (folder / "reads" / f"B_{mate}.fastq").read_text()
+            (place / f"B_{mate}.fastq").write_text(own)
+
+    def run(place):
+        return Run(
+            spark,
+            str(place),
+            str(folder / "ref.fa"),
+            str(folder / "ref.fa.fai"),
+            str(tmp_path / "out"),
+        )
+
+    first, second = run(good), run(bad)
+    assert len(first.execute().collect()) == 4
+    result = [(row.stage, row.success_count) for row in second.execute().collect()]
+    assert result == [("preprocessing", 0)]
+    assert first.ledger().count() == 4 and second.ledger().count() == 1
+
+
 def test_run_stops_without_success(spark, files, tmp_path):
     folder, _, _ = files
     reads = tmp_path / "reads"
