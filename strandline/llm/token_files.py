@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from strandline.llm.bytetext import encoded, hashed, pieces, ragged, rolling
-from strandline.plans.storage import discard, scratch_path, stored_at
+from strandline.plans.storage import discard, scratch_path
 
 END_ID = 2
 SHARD_IDS = 8_000_000
@@ -327,7 +327,9 @@ def write_token_files(
     kind = dict(rows.dtypes)["doc_id"]
     schema = f"doc_id {kind}, crc long, width byte, ids binary"
     scratch = scratch_path(spark, "ids")
-    found = stored_at(rows.mapInArrow(_encoder(tokenizer_file, end_id), schema), scratch)
+    encoded_rows = rows.mapInArrow(_encoder(tokenizer_file, end_id), schema)
+    encoded_rows.write.option("compression", "zstd").parquet(scratch)
+    found = spark.read.schema(schema).parquet(scratch)
     # one row for each id of the vocabulary at most, whatever the number of documents
     tally = (
         found.select("width", "ids")
@@ -352,7 +354,8 @@ def write_token_files(
             f"shard int, block int, first long, doc_ids array<{kind}>, sizes array<int>,"
             " control binary, data binary",
         )
-        .write.parquet(f"{path}/blocks")
+        .write.option("compression", "zstd")
+        .parquet(f"{path}/blocks")
     )
     discard(spark, scratch)
 
