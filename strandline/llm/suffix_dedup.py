@@ -11,10 +11,12 @@ from strandline.llm.bytetext import encoded, hashed, mixed, pieces, ragged, roll
 from strandline.llm.repeats import LENGTH, Q, anchors, refined, surroundings
 from strandline.plans.storage import stored
 
-#: Anchors that one task compares, about, and that are compared where they are found.
+#: Anchors that one task compares, about.
 PART_ANCHORS = 1_000_000
+#: Anchors that are compared where they are found.
+BLOCK_ANCHORS = 500_000
 #: Stretches of text whose places one task refines, about.
-PART_ASKED = 40_000
+PART_ASKED = 15_000
 _PIECE = 1_000_000
 
 _BLOCK = (
@@ -209,7 +211,7 @@ def _anchored(parts: int) -> Callable:
         block = _Block(parts)
         for batch in pieces(batches, limit=_PIECE):
             block.add(batch)
-            if block.n_found >= PART_ANCHORS:
+            if block.n_found >= BLOCK_ANCHORS:
                 yield from block.emptied()
         if block.n_docs:
             yield from block.emptied()
