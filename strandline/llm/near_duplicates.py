@@ -26,6 +26,8 @@ from strandline.plans.storage import stored
 THRESHOLD = 4
 #: An anchor with more fingerprints at home is left to ``_by_midpoints``.
 CROWDED = 1000
+#: Fingerprints whose replicas one task makes, about 180 for each.
+TASK_PRINTS = 20_000
 
 BLOCKS = ((0, 21), (21, 21), (42, 22))
 PAIRS = ((0, 1), (0, 2), (1, 2))
@@ -208,7 +210,10 @@ def near_duplicates(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
         rows.mapInArrow(fingerprints, f"doc_id {kind}, row_hash long, bits long"), "prints"
     )
     classes = stored(found.groupBy("bits").agg(F.min("doc_id").alias("least_id")), "classes")
-    roots = components(stored(links(classes.select("bits"), crowded), "links")).select(
+    # few bytes a fingerprint, but many replicas: more tasks than the bytes would give
+    tasks = max(1, -(-classes.count() // TASK_PRINTS))
+    prints = classes.select("bits").repartition(tasks, "bits")
+    roots = components(stored(links(prints, crowded), "links")).select(
         F.col("node").alias("bits"), "root"
     )
     placed = classes.join(roots, "bits", "left").select(
