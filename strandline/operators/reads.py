@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandline.functions import sequence as S
 from strandline.functions.overlap import overlap_offset
@@ -13,6 +13,9 @@ LOW_QUALITY_PERCENT = 40
 MAX_N_BASES = 5
 MIN_LENGTH = 15
 
+# Bytes of a file whose records one task numbers.
+STRETCH = 1 << 26
+
 
 def verdict(
     seq: Column,
@@ -173,6 +176,60 @@ def join_mates_checked(first: DataFrame, second: DataFrame) -> DataFrame:
     ).drop("error1", "error2").withColumnRenamed("ordinal1", "ordinal")
 
 
+def pair_by_record(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Mates paired by their place in their files, whatever they are called.
+
+    The n-th record of a sample's mate 1 goes with the n-th of mate 2; names may repeat
+    or differ.  What has no partner or is malformed stays, with ``error`` set.  The pair
+    has the name of mate 1; ``names_differ`` tells where that of mate 2 is another, but
+    for a last 1 or 2 behind a dot, slash, underscore or blank.  ``ordinal`` is the place
+    of the pair in the file of mate 1.
+    """
+    joined = _numbered(first, 1).join(_numbered(second, 2), ["sample_id", "_record"], "full")
+
+    def name(mate: int) -> Column:
+        return F.regexp_replace(f"read_id{mate}", "[./_ ][12]$", "")
+
+    read_id = F.coalesce("read_id1", "read_id2")
+    alone = F.col("ordinal1").isNull() | F.col("ordinal2").isNull()
+    return joined.select(
+        "sample_id",
+        read_id.alias("read_id"),
+        *[f"{column}{mate}" for mate in (1, 2) for column in ("seq", "qual")],
+        F.coalesce("ordinal1", "ordinal2").alias("ordinal"),
+        F.coalesce(
+            "error1", "error2", F.when(alone, F.concat(F.lit("read without mate: "), read_id))
+        ).alias("error"),
+        F.coalesce(name(1) != name(2), F.lit(False)).alias("names_differ"),
+    )
+
+
+def _numbered(reads: DataFrame, mate: int) -> DataFrame:
+    """Reads with the number of their record in the file.
+
+    Records are numbered within stretches of the file; the records before a stretch are
+    a sum over one row per stretch.
+    """
+    stretch = ["sample_id", "_stretch"]
+    rows = reads.withColumn("_stretch", F.expr(f"ordinal div {STRETCH}"))
+    counts = rows.groupBy(*stretch).agg(F.count("*").alias("_n"))
+    so_far = F.sum("_n").over(Window.partitionBy("sample_id").orderBy("_stretch"))
+    before = counts.select(*stretch, (so_far - F.col("_n")).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy(*stretch).orderBy("ordinal"))
+    return (
+        rows.withColumn("_nth", nth)
+        .join(before, stretch)
+        .select(
+            "sample_id",
+            (F.col("_before") + F.col("_nth")).alias("_record"),
+            *[
+                F.col(name).alias(f"{name}{mate}")
+                for name in ("read_id", "seq", "qual", "ordinal", "error")
+            ],
+        )
+    )
+
+
 def _side(reads: DataFrame, mate: int, *extra: str) -> DataFrame:
     return reads.select(
         "sample_id",

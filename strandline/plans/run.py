@@ -179,7 +179,7 @@ class Run:
         files = fastq.mate_files(samples)
         # Pairs keep their raw sequences, and what could not be paired stays as
         # rows with an error, so the files are parsed once.
-        joined = reads.join_mates_checked(
+        joined = reads.pair_by_record(
             fastq.read_fastq(files.filter(F.col("mate") == 1)),
             fastq.read_fastq(files.filter(F.col("mate") == 2)),
         )
@@ -212,6 +212,10 @@ class Run:
             .unionByName(reads.read_qc(clean).withColumn("phase", F.lit("after")))
         )
         verdicts = sound.groupBy("sample_id", "verdict").agg(F.count("*").alias("pairs"))
+        names = sound.groupBy("sample_id").agg(
+            F.count("*").alias("pairs"), F.count_if("names_differ").alias("names_differ")
+        )
+        tables.write_json(names, f"{report}/pairing")
         tables.write_json(quality, f"{report}/read_quality")
         tables.write_json(verdicts, f"{report}/filtering")
         tables.write_json(reads.cycle_profile(clean), f"{report}/cycles")
@@ -261,7 +265,8 @@ class Run:
             k=self.options.seed_length,
             margin=margin,
         )
-        self.save(placement.placed_alignments(clean, placed), "alignments")
+        records = placement.placed_alignments(clean, placed, by_ordinal=True)
+        self.save(records, "alignments")
         self._finish_stage(ALIGNMENT, begun, PREPROCESSING)
 
     def process_alignments(self) -> None:

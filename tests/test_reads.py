@@ -177,3 +177,27 @@ def test_duplication(spark):
     assert levels == {("s", 3): 1, ("s", 1): 1, ("t", 1): 1}
     rate = {r.sample_id: r.duplication_rate for r in R.duplication_rate(frame).collect()}
     assert rate == {"s": 0.5, "t": 0.0}
+
+
+def test_pairs_by_record(spark, monkeypatch):
+    monkeypatch.setattr(R, "STRETCH", 100)
+    schema = (
+        "sample_id string, read_id string, mate byte, seq string, qual string, ordinal long,"
+        " error string"
+    )
+    names = ["a.1", "x", "x", "x", "b 1", "c"]
+    rows = []
+    for i, name in enumerate(names):
+        rows.append(("s", name, 1, f"A{i}", "I", 60 * i, None))
+        other = {"a.1": "a.2", "b 1": "b 2", "c": "d"}.get(name, name)
+        rows.append(("s", other, 2, f"C{i}", "I", 70 * i, None))
+    rows.append(("t", "x", 1, "A", "I", 0, None))
+    rows.append(("s", None, 2, None, None, 900, "broken"))
+    frame = spark.createDataFrame(rows, schema)
+    pairs = R.pair_by_record(frame.filter("mate = 1"), frame.filter("mate = 2"))
+    found = sorted(pairs.collect(), key=lambda r: (r.sample_id, r.ordinal))
+    assert [(r.read_id, r.seq1, r.seq2) for r in found[:6]] == [
+        (name, f"A{i}", f"C{i}") for i, name in enumerate(names)
+    ]
+    assert [r.names_differ for r in found[:6]] == [False] * 5 + [True]
+    assert [r.error for r in found] == [None] * 6 + ["broken", "read without mate: x"]

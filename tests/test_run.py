@@ -162,6 +162,33 @@ def test_runs_in_one_folder_keep_apart(spark, files, tmp_path):
     assert first.ledger().count() == 4 and second.ledger().count() == 1
 
 
+def test_run_with_repeated_names(spark, files, tmp_path):
+    folder, contigs, _ = files
+    place = tmp_path / "reads"
+    place.mkdir()
+    bases = contigs["chr2"]
+    starts = range(0, 1000, 100)
+    for mate in (1, 2):
+        text = ""
+        for start in starts:
+            insert = bases[start : start + 180]
+            read = insert[:80] if mate == 1 else reverse_complement(insert)[:80]
+            text += f"@same.{mate}\n{read}\n+\n{'I' * 80}\n"
+        (place / f"R_{mate}.fastq").write_text(text)
+    run = Run(
+        spark,
+        str(place),
+        str(folder / "ref.fa"),
+        str(folder / "ref.fa.fai"),
+        str(tmp_path / "out"),
+    )
+    assert [row.success_count for row in run.execute().collect()] == [1] * 4
+    records = run.load("alignments").collect()
+    assert len(records) == 20
+    assert sorted(r.pos0 for r in records if r.flag & 64) == list(starts)
+    assert all(r.flag & 2 and abs(r.tlen) == 180 for r in records)
+
+
 def test_run_stops_without_success(spark, files, tmp_path):
     folder, _, _ = files
     reads = tmp_path / "reads"
