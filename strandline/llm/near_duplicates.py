@@ -170,14 +170,16 @@ def links(prints: DataFrame, crowded: int = CROWDED) -> DataFrame:
         .agg(F.collect_list("bits").alias("home"))
     )
     replicas = prints.mapInArrow(_replicated, "anchor int, bits long")
-    near = F.filter("home", lambda x: (x < F.col("bits")) & (F.bit_count(x.bitwiseXOR(F.col("bits"))) <= THRESHOLD))
+    own = F.col("bits")
+    near = F.filter("home", lambda x: (x < own) & (F.bit_count(x.bitwiseXOR(own)) <= THRESHOLD))
     met = (
         replicas.join(few, "anchor")
         .select("bits", near.alias("near"))
         .filter(F.size("near") > 0)
         .select(F.explode("near").alias("a"), F.col("bits").alias("b"))
     )
-    return met.union(_by_midpoints(replicas.join(full, "anchor", "left_semi").select("bits").distinct()))
+    crowd = replicas.join(full, "anchor", "left_semi").select("bits").distinct()
+    return met.union(_by_midpoints(crowd))
 
 
 def _by_midpoints(prints: DataFrame) -> DataFrame:

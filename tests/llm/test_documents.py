@@ -256,12 +256,14 @@ def test_language(odd, odd_rows, empty):
     by_id = {row.doc_id: row for row in found.collect()}
     assert {by_id[i].lang_pred for i in (100, 101, 102, 103)} == {"und"}
     assert by_id[109].lang_pred in ("en", "fr") and not found.filter("score < 0 or score > 1").count()
-    assert all(row.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i, row in by_id.items() if i is not None)
+    held = {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in by_id if i is not None}
+    assert all(by_id[i].held_out == is_held for i, is_held in held.items())
     kept = in_known_languages(odd)
     assert kept.columns == odd.columns
     assert not kept.filter("doc_id in (100, 101, 102, 103)").count()
     assert languages(empty).count() == 0
-    assert {row.lang_pred for row in languages(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+    unnamed = languages(odd.withColumn("lang", F.lit(None).cast("string")))
+    assert {row.lang_pred for row in unnamed.collect()} == {"und"}
 
 
 def test_toxicity(spark, odd, odd_rows, empty):
@@ -269,9 +271,9 @@ def test_toxicity(spark, odd, odd_rows, empty):
         [(i, int(i % 5 == 0)) for i in range(0, 110)] + [(None, 1), (2, None), (3, 7)],
         "doc_id long, toxic int",
     )
-    marked = odd.withColumn(
-        "text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" you idiot trash"))).otherwise(F.col("text"))
-    )
+    rude = F.concat("text", F.lit(" you idiot trash"))
+    text = F.when(F.col("doc_id") % 5 == 0, rude).otherwise(F.col("text"))
+    marked = odd.withColumn("text", text)
     found = toxicity(marked, labels)
     assert found.count() == len(odd_rows)
     assert not found.filter("score < 0 or score > 1 or score is null").count()
