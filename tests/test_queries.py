@@ -3,7 +3,9 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
+from strandline import testbed
 from strandline.testbed_oracle import ORACLE
 from strandline.testbed_queries import QUERIES
 
@@ -44,3 +46,15 @@ def test_query(spark, database, name):
             f" except all select {columns} from {right})"
         )
         assert rest.fetchall() == [(0,)]
+
+
+def test_reads_and_pairs_hold_whole_texts(spark, database):
+    total = database.execute("select sum(length(text)) from documents").fetchone()[0]
+    reads = testbed.view(spark, SF_DIR, "reads")
+    assert reads.agg(F.sum(F.length("seq"))).first()[0] == total
+    # mates overlap by less than either, and all of an insert is in one of them
+    pairs = testbed.view(spark, SF_DIR, "read_pairs").select(
+        (F.length("seq1") + F.length("seq2")).alias("n")
+    )
+    n = pairs.agg(F.sum("n"), F.count("*")).first()
+    assert total <= n[0] <= 1.3 * total + 2 * n[1]
