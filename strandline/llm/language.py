@@ -224,9 +224,9 @@ def languages(docs: DataFrame, sampled: int = SAMPLED, grams: int = GRAMS) -> Da
 def in_known_languages(docs: DataFrame, sampled: int = SAMPLED, grams: int = GRAMS) -> DataFrame:
     """The rows of ``docs`` whose text is in one of the languages learned from ``docs``; columns as given.
 
-    Rejected are texts that are null or have no letter, and those without any known n-gram.
+    Rejected are only texts that ``guessed`` gives no language: those that are null or have no
+    letter, and all where nothing was learned. A text too short for a known n-gram stays.
     """
     model = learned(docs.filter(F.col("doc_id").isNotNull() & ~held_out_third()), sampled, grams)
     names = unused(docs, "lang_pred"), unused(docs, "score")
-    kept = (F.col(names[0]) != UNDETERMINED) & (F.col(names[1]) > 0)
-    return guessed(docs, model, names).filter(kept).drop(*names)
+    return guessed(docs, model, names).filter(F.col(names[0]) != UNDETERMINED).drop(*names)

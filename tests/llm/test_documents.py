@@ -266,6 +266,16 @@ def test_language(odd, odd_rows, empty):
     assert {row.lang_pred for row in unnamed.collect()} == {"und"}
 
 
+def test_known_languages_keep_short_texts(odd, odd_rows):
+    short = odd.withColumn("text", F.when(F.col("doc_id") == 3, "Re.").otherwise(F.col("text")))
+    found = languages(short).filter("doc_id = 3").first()
+    assert found.lang_pred in ("en", "fr") and found.score == 0
+    kept = in_known_languages(short).select("doc_id", "text")
+    want = [(row.doc_id, row.lang_pred) for row in languages(short).collect()]
+    assert kept.filter("doc_id = 3").count() == 1
+    assert tuples(kept, "doc_id") == Counter((doc,) for doc, lang in want if lang != "und")
+
+
 def test_toxicity(spark, odd, odd_rows, empty):
     labels = spark.createDataFrame(
         [(i, int(i % 5 == 0)) for i in range(0, 110)] + [(None, 1), (2, None), (3, 7)],
