@@ -103,13 +103,16 @@ def base_failed() -> Column:
 def _features(statistics: Iterable[np.ndarray], usual: np.ndarray) -> np.ndarray:
     """One row of rates a word for each text; none grows with its length.
 
-    ``usual`` has the rates of all texts together. Every text is given ``_SHRUNK`` words more at
-    these rates, as rates of a few words mean little. Repeated words have their limit in
-    ``base_failed``, and a few repeated lines are usual, so only further ones count here.
+    ``usual`` has the rates of letters and of further repeated lines in all texts together. Every
+    text is given ``_SHRUNK`` words more at these rates, as such rates of a few words mean little;
+    not so for symbols, as ordinary texts of any length have hardly any. Repeated words have their
+    limit in ``base_failed``, and a few repeated lines are usual, so only further ones count here.
+    Upper case and marks vary too much among ordinary texts and don't count.
     """
-    words, chars, symbols, dup, _, upper, marks = (np.asarray(x, float) for x in statistics)
-    counts = np.stack((chars, symbols, np.maximum(dup - _USUAL_LINES, 0), upper, marks), axis=1)
-    return (counts + _SHRUNK * usual) / (words + _SHRUNK)[:, None]
+    words, chars, symbols, dup, *_ = (np.asarray(x, float) for x in statistics)
+    counts = np.stack((chars, np.maximum(dup - _USUAL_LINES, 0)), axis=1)
+    shrunk = (counts + _SHRUNK * usual) / (words + _SHRUNK)[:, None]
+    return np.column_stack((shrunk[:, 0], symbols / np.maximum(words, 1), shrunk[:, 1]))
 
 
 @dataclass
@@ -183,7 +186,7 @@ def quality(docs: DataFrame, labels: DataFrame, most_lost: float = MOST_LOST) ->
     """Rule statistics and verdict for every whole text of ``docs``.
 
     Returns, one row per row of ``docs``, ``doc_id``, the columns ``STATISTICS``, ``MORE``, ``anomaly``
-    (0 to 1), ``base_failed`` (too few words, or too many inside windows that are there twice or
+    (0 to 1; ``MORE`` has no part in it), ``base_failed`` (too few words, or too many inside windows that are there twice or
     more) and ``kept``: false if ``base_failed``, else whether the anomaly is below the threshold.
 
     The forest is grown from a sample of about ``TREES * TREE_ROWS`` rows that are not
@@ -202,10 +205,8 @@ def quality(docs: DataFrame, labels: DataFrame, most_lost: float = MOST_LOST) ->
     found = stored(rows.mapInArrow(_statistics, f"doc_id {kind}, {columns}"), "statistics")
     sound = found.filter(~base_failed())
     extra = F.greatest(F.col("n_dup_lines") - _USUAL_LINES, F.lit(0))
-    columns_of = [F.col(name) for name in ("word_chars", "n_symbols", "n_upper", "n_marks")]
-    columns_of.insert(2, extra)
     total, words, *sums = sound.agg(
-        F.count("*"), F.sum("n_words"), *(F.sum(column) for column in columns_of)
+        F.count("*"), F.sum("n_words"), F.sum("word_chars"), F.sum(extra)
     ).first()
     usual = np.array([x or 0 for x in sums], float) / max(words or 0, 1)
     draw = F.pmod(F.xxhash64("doc_id", *_ALL), F.lit(1 << 30)) / float(1 << 30)

@@ -179,6 +179,23 @@ def test_quality(spark, odd, odd_rows, empty):
     assert quality(odd, labels.limit(0)).filter("not base_failed and not kept").count() == 0
 
 
+def test_quality_of_short_texts_with_symbols(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(600):
+        words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(rng.integers(25, 300))]
+        if i % 20 == 7:  # a few good texts with many capitals or marks
+            words = [word.upper() if i % 40 == 7 else word[:2] + "!?!" for word in words]
+        if i % 50 == 0:  # short junk
+            words = words[:40]
+            words[3::6] = ["$" * 5 for _ in words[3::6]]
+        rows.append((i, " ".join(words), int(i % 50 > 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    found = {row.doc_id: row.kept for row in quality(docs, docs).collect()}
+    assert sum(not found[i] for i, _, good in rows if good) <= 0.002 * 588
+    assert sum(not found[i] for i, _, good in rows if not good) >= 11
+
+
 def test_removal(odd, odd_rows, empty):
     import hashlib
 
