@@ -49,11 +49,21 @@ def _binary(data: np.ndarray, places: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(places) - 1, [None, at, raw])
 
 
-def _first_in_class(around: np.ndarray, doc_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each anchor by its surroundings, and each class's smallest document."""
+def _first_in_class(
+    around: np.ndarray, sides: np.ndarray, doc_ids: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each anchor by its surroundings, and each class's smallest document.
+
+    Surroundings count as equal if all 64 bits of their hash agree, and 64 of two more: those of
+    the q-gram with the bytes on either side (``sides``).
+    """
     order = np.argsort(around, kind="stable")
+    same = around[order][1:] == around[order][:-1]
+    if (same & (sides[order][1:] != sides[order][:-1])).any():
+        order = np.lexsort((sides, around))
+        same = around[order][1:] == around[order][:-1]
     new = np.ones(len(order), bool)
-    new[1:] = around[order][1:] != around[order][:-1]
+    new[1:] = ~same | (sides[order][1:] != sides[order][:-1])
     member = np.empty(len(order), np.int64)
     member[order] = np.cumsum(new) - 1
     least = np.minimum.reduceat(doc_ids[order], np.flatnonzero(new)) if len(order) else doc_ids
@@ -164,7 +174,9 @@ class _Block:
         doc, place = np.concatenate([rows for rows, _ in self.found], axis=1)
         gram, around, before, after = np.concatenate([names for _, names in self.found], axis=1)
         self.__init__(self.parts)
-        member, least = _first_in_class(around, ids[doc])
+        high = np.uint64(32)
+        sides = before >> high << high | after >> high
+        member, least = _first_in_class(around, sides, ids[doc])
         twice = ids[doc] > least[member]
         begins, ends = surroundings(place[twice], 0, lengths[doc[twice]])
         run_doc, run_begin, run_end = _merged(doc[twice], begins, ends)
@@ -190,7 +202,7 @@ class _Block:
             rows["counts"].append(counts.astype("<u4").tobytes())
             rows["before"].append(_packed(before[own] >> np.uint64(32), 4))
             rows["after"].append(_packed(after[own] >> np.uint64(32), 4))
-            rows["around"].append(_packed(around[own] >> np.uint64(16), 6))
+            rows["around"].append(_packed(around[own], 8))
             width = (int(place[own].max(initial=1)).bit_length() + 7) // 8
             rows["width"].append(width)
             rows["places"].append(_packed(place[own], width))
@@ -237,12 +249,13 @@ def _compared(table: pa.Table, buckets: int) -> pa.Table:
     place = np.concatenate(
         [_unpacked(raw, n) for raw, n in zip(table.column("places").to_pylist(), widths)]
     ).astype(np.int64)
-    around = unpacked("around", 6)
+    around, before, after = unpacked("around", 8), unpacked("before", 4), unpacked("after", 4)
     run_doc, n_runs = joined("runs", "<u4")
     run_doc = run_doc + np.repeat(np.cumsum(n_docs) - n_docs, n_runs)
     bounds = joined("bounds", "<u4")[0].reshape(-1, 2)
 
-    member, least = _first_in_class(around, ids[doc])
+    sides = before << np.uint64(32) | after
+    member, least = _first_in_class(around, sides, ids[doc])
     twice = ids[doc] > least[member]
     begins, ends = surroundings(place[twice], 0, lengths[doc[twice]])
     owner, begins, ends = _merged(
@@ -252,9 +265,9 @@ def _compared(table: pa.Table, buckets: int) -> pa.Table:
     )
     # classes that may share a stretch are compared byte by byte, each by its smallest document
     shared = np.zeros(len(least), bool)
-    for name in ("before", "after"):
+    for side in (before, after):
         of_class = np.zeros(len(least), np.uint64)
-        of_class[member] = unpacked(name, 4)
+        of_class[member] = side
         _, which, several = np.unique(of_class, return_inverse=True, return_counts=True)
         shared |= several[which] > 1
     asked = np.flatnonzero(shared[member] & ~twice)

@@ -5,11 +5,13 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import contamination as plain_contamination
 from brute import fingerprint, groups, remaining, statistics
 from pyspark.sql import functions as F
 
+from strandline.llm import suffix_dedup
 from strandline.llm.components import components
 from strandline.llm.decontamination import contamination, without_contamination
 from strandline.llm.language import in_known_languages, languages
@@ -216,6 +218,30 @@ def test_removal(odd, odd_rows, empty):
     assert removal(empty).count() == 0
 
 
+@pytest.mark.parametrize("differing", ["around", "before", "after"])
+def test_hashes_that_differ_in_a_few_bits(monkeypatch, differing):
+    rng = np.random.default_rng(2)
+    one = "".join(rng.choice(list("abcdefgh"), 90))
+    block = suffix_dedup._Block(1)
+    at, text, gram, around, before, after = suffix_dedup.anchors(
+        *suffix_dedup.encoded(pa.array([one, one]))
+    )
+    names = {"around": around, "before": before, "after": after}
+    second = text == 1
+    # as if the second text were another one, of nearly the same hash
+    names[differing][second] ^= np.uint64(1) << np.uint64(0 if differing == "around" else 40)
+    rows = []
+    for number in (0, 1):
+        own = text == number
+        found = (at[own] - 90 * number, text[own] - number, gram[own])
+        found += tuple(names[name][own] for name in ("around", "before", "after"))
+        monkeypatch.setattr(suffix_dedup, "anchors", lambda *_: found)
+        block.add(pa.RecordBatch.from_pydict({"doc_id": [number], "check": [0], "text": [one]}))
+        rows += block.emptied()
+    compared = suffix_dedup._compared(pa.Table.from_batches(rows), 1)
+    assert not any(compared.column("runs").to_pylist())
+
+
 def test_token_files(spark, odd, odd_rows, empty):
     from tokenizers import Tokenizer
 
