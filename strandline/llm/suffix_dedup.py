@@ -5,6 +5,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from strandline.llm.bytetext import encoded, hashed, mixed, pieces, ragged, rolling
@@ -15,7 +16,7 @@ from strandline.plans.storage import stored
 PART_ANCHORS = 1_000_000
 #: Anchors that are compared where they are found.
 BLOCK_ANCHORS = 500_000
-#: Stretches of text whose places one task refines, about.
+#: Surroundings that one task refines, about; a q-gram with more of them is dealt to several.
 PART_ASKED = 15_000
 _PIECE = 1_000_000
 
@@ -315,13 +316,91 @@ def _refined(table: pa.Table, buckets: int) -> pa.Table:
         twice = np.empty(len(order), bool)
         twice[order] = ids[text][order] > least[np.cumsum(new) - 1]
         live, text = live[twice], text[twice]
-    at = live - places[text] + begin[text]
+    return _as_runs(ids, checks, text, live - places[text] + begin[text], buckets)
+
+
+def _as_runs(
+    ids: np.ndarray, checks: np.ndarray, text: np.ndarray, at: np.ndarray, buckets: int
+) -> pa.Table:
+    """Stretches that go, given by their begins ``at`` in the texts."""
     text, begins, ends = _merged(text, at, at + LENGTH)
     nothing = np.zeros(0, np.int64)
     runs = np.stack((begins, ends), axis=1)
     return _dealt(ids, checks, (text, runs), (nothing, nothing), buckets)
 
 
+def _stretches(table: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """All stretches of ``LENGTH`` bytes of surroundings: row, place in it, 128-bit digest."""
+    raw = table.column("bytes").to_pylist()
+    sizes = np.array([len(x) for x in raw], np.int64)
+    each = np.maximum(sizes - LENGTH + 1, 0)
+    digests = [
+        hashlib.blake2b(text[i : i + LENGTH], digest_size=16).digest()
+        for text, n in zip(raw, each.tolist())
+        for i in range(n)
+    ]
+    owner = np.repeat(np.arange(len(raw)), each)
+    return owner, ragged(np.zeros(len(raw), np.int64), each), pa.array(digests, pa.binary())
+
+
+def _least_of_share(table: pa.Table) -> pa.Table:
+    """Each distinct stretch of a share once, with its smallest and largest document."""
+    owner, _, digests = _stretches(table)
+    ids = table.column("doc_id").combine_chunks().take(pa.array(owner))
+    found = pa.table({"digest": digests, "doc_id": ids}).group_by("digest")
+    found = found.aggregate([("doc_id", "min"), ("doc_id", "max")])
+    share = pa.array(np.full(len(found), table.column("share")[0].as_py()), pa.int64())
+    return pa.table(
+        {
+            "share": share,
+            "digest": found.column("digest"),
+            "least": found.column("doc_id_min"),
+            "most": found.column("doc_id_max"),
+        }
+    )
+
+
+def _settled(table: pa.Table, known: pa.Table, buckets: int) -> pa.Table:
+    """A share's stretches that are in a smaller document of any share."""
+    owner, at, digests = _stretches(table)
+    ids = table.column("doc_id").to_numpy()
+    checks, begin = table.column("check").to_numpy(), table.column("begin").to_numpy()
+    nth = pc.index_in(digests, value_set=known.column("digest").combine_chunks())
+    met = nth.is_valid().to_numpy(zero_copy_only=False)
+    least = known.column("least").to_numpy()[nth.drop_null().to_numpy()]
+    owner, at = owner[met], at[met]
+    twice = ids[owner] > least
+    owner, at = owner[twice], at[twice]
+    return _as_runs(ids, checks, owner, at + begin[owner], buckets)
+
+
+def _refined_in_shares(crowded: DataFrame, count: int, buckets: int) -> DataFrame:
+    """As ``_refined``, for q-grams with more questions than a task can take.
+
+    Shares of the questions, dealt by a hash, tell their distinct stretches; the smallest
+    document of each comes from all shares and goes back to those that have it.
+    """
+    shares = -(-count // PART_ASKED)
+    dealt = F.pmod(F.xxhash64("doc_id", "check", "begin"), F.lit(shares)).alias("share")
+    # a repeated row asks the same again
+    dealt = crowded.dropDuplicates().select("doc_id", "check", "begin", "bytes", dealt)
+    told = stored(
+        dealt.groupBy("share").applyInArrow(
+            _least_of_share, "share long, digest binary, least long, most long"
+        ),
+        "stretches",
+    )
+    least = told.groupBy("digest").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    known = told.select("share", "digest").join(
+        least.filter("least < most").select("digest", "least"), "digest"
+    )
+
+    def settled(table: pa.Table, known: pa.Table) -> pa.Table:
+        return _settled(table, known, buckets)
+
+    return dealt.groupBy("share").cogroup(known.groupBy("share")).applyInArrow(settled, _FOUND)
+
+
 def _kept(batches: Iterable[pa.RecordBatch], describe: Callable) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
         data, places = encoded(batch.column("text"))
@@ -405,14 +484,24 @@ def _with_runs(docs: DataFrame) -> DataFrame:
     # four bytes a question
     count = asked.agg(F.sum(F.octet_length("asked"))).first()[0] or 0
     groups = max(1, -(-count // (4 * PART_ASKED)))
-    looked_up = (
+    looked_up = stored(
         rows.join(asked.select(F.col("doc_id").alias("key"), "check", "asked"), ["key", "check"])
         .select("doc_id", "check", "text", "asked")
-        .mapInArrow(_looked_up, "gram long, doc_id long, check long, begin long, bytes binary")
-    )
-    more = by_text(
-        looked_up.groupBy(F.pmod("gram", F.lit(groups)).alias("part")).applyInArrow(refined, _FOUND)
+        .mapInArrow(_looked_up, "gram long, doc_id long, check long, begin long, bytes binary"),
+        "asked",
     )
+    # one q-gram's questions meet in one task, unless they are too many
+    sizes = looked_up.groupBy("gram").agg(F.count("*").alias("n"))
+    crowded = stored(sizes.filter(F.col("n") > PART_ASKED), "crowded")
+    n_crowded = crowded.agg(F.sum("n")).first()[0] or 0
+    rest = looked_up
+    if n_crowded:
+        rest = looked_up.join(crowded, "gram", "left_anti")
+    settled = rest.groupBy(F.pmod("gram", F.lit(groups)).alias("part")).applyInArrow(refined, _FOUND)
+    if n_crowded:
+        many = looked_up.join(crowded, "gram", "left_semi")
+        settled = settled.union(_refined_in_shares(many, n_crowded, parts))
+    more = by_text(settled)
     runs = (
         found.filter(F.octet_length("runs") > 0)
         .select("doc_id", "check", "runs")
@@ -438,7 +527,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     (1) Anchors whose whole surroundings are in a smaller document settle all stretches that
     have them; those of one task are compared before the shuffle, and one document goes on for
     all. (2) Where a q-gram stands in different surroundings, these are looked up, one for each
-    kind, and refined by bucket pointers. (3) Runs meet their texts.
+    kind, and refined by bucket pointers; those of a q-gram with very many are dealt out to
+    several tasks and compared stretch by stretch (128-bit digests). (3) Runs meet their texts.
     """
     return _with_runs(docs).mapInArrow(_remaining, "doc_id long, kept binary")
 

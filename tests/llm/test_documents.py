@@ -218,6 +218,30 @@ def test_removal(odd, odd_rows, empty):
     assert removal(empty).count() == 0
 
 
+def test_removal_of_a_passage_in_most_documents(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+
+    def letters(n):
+        return "".join(rng.choice(list("abcdefgh"), n))
+
+    passage, line = letters(120), letters(60)
+    rows = [(i, letters(90) + passage + letters(70) + line + letters(3)) for i in range(600)]
+    rows += [(i, text) for i, text in rows[:40]] + [(600, line), (-1, letters(40) + line[:55])]
+    refined, limit = suffix_dedup._refined, 40
+
+    def guarded(table, buckets):
+        if table.num_rows > 10 * limit:
+            raise MemoryError(table.num_rows)
+        return refined(table, buckets)
+
+    monkeypatch.setattr(suffix_dedup, "_refined", guarded)
+    monkeypatch.setattr(suffix_dedup, "PART_ASKED", limit)
+    found = deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    raw = [(doc, text.encode()) for doc, text in rows]
+    want = Counter((doc, kept) for (doc, _), (_, _, kept) in zip(raw, remaining(raw)))
+    assert Counter((row.doc_id, bytes(row.kept)) for row in found.collect()) == want
+
+
 @pytest.mark.parametrize("differing", ["around", "before", "after"])
 def test_hashes_that_differ_in_a_few_bits(monkeypatch, differing):
     rng = np.random.default_rng(2)
