@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandline.llm.decontamination import contamination
 from strandline.llm.html_text import extracted
+from strandline.llm.importance import importance
 from strandline.llm.language import languages
 from strandline.llm.mixing import copies
 from strandline.llm.near_duplicates import near_duplicates
@@ -182,3 +183,72 @@ def op9_token_files(spark, sf_dir):
 @query
 def op10_toxicity(spark, sf_dir):
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@query
+def op11_importance(spark, sf_dir):
+    docs, target = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return importance(docs, target).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: DuckDB has no CRC-32: a table of the remainders of all bytes, and a fold over a text's bytes.
+_CRC_TABLE = """
+    crc_table AS (
+        SELECT list(CAST(v AS BIGINT) ORDER BY n) AS t
+        FROM (SELECT n, list_reduce(
+                         list_prepend(n, range(8)),
+                         lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384)
+                                           ELSE a >> 1 END) AS v
+              FROM (SELECT unnest(range(256)) AS n)))"""
+
+
+def _crc_sql(text: str) -> str:
+    code = f"('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT"
+    return f"""xor(list_reduce(
+        list_prepend(4294967295::BIGINT,
+                     list_transform(range(octet_length(encode({text}))), lambda i: {code})),
+        lambda a, b: xor(a >> 8, t[CAST(xor(a, b) & 255 AS INTEGER) + 1])), 4294967295)"""
+
+
+ORACLE["op11_importance"] = rf"""
+    WITH {_CRC_TABLE},
+    words AS (
+        SELECT place, doc_id, theirs, unnest(w) AS word
+        FROM (SELECT row_number() OVER () AS place, doc_id, theirs, regexp_extract_all(
+                         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                   'abcdefghijklmnopqrstuvwxyz'),
+                         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+              FROM (SELECT doc_id, text, 0 AS theirs FROM documents
+                    UNION ALL SELECT item_id, text, 1 FROM benchmark))),
+    codes AS (
+        SELECT word, {_crc_sql("word")} % 10000 AS bucket
+        FROM (SELECT DISTINCT word FROM words), crc_table),
+    sums AS (
+        SELECT bucket, CAST(count(*) FILTER (WHERE theirs = 0) AS DOUBLE) AS s,
+               CAST(count(*) FILTER (WHERE theirs = 1) AS DOUBLE) AS t
+        FROM words JOIN codes USING (word) GROUP BY bucket),
+    gains AS (
+        SELECT bucket, CAST(floor(1000.0::DOUBLE * ln(
+                   (t + 1) * ((SELECT sum(s) FROM sums) + 10000)
+                   / ((s + 1) * ((SELECT sum(t) FROM sums) + 10000)))) AS BIGINT) AS gain
+        FROM sums),
+    weights AS (
+        SELECT doc_id, CAST(count(*) AS BIGINT) AS n_features, CAST(sum(gain) AS BIGINT) AS weight
+        FROM words JOIN codes USING (word) JOIN gains USING (bucket)
+        WHERE theirs = 0 GROUP BY place, doc_id
+        UNION ALL
+        SELECT doc_id, 0, 0 FROM documents
+        WHERE NOT regexp_matches(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]')),
+    scored AS (
+        SELECT *, weight + CAST(floor(-1000.0::DOUBLE * ln(-ln(
+                   (('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))
+                        ::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+        FROM weights),
+    ordered AS (
+        SELECT *, row_number() OVER (PARTITION BY n_features >= 20
+                                     ORDER BY score DESC, doc_id NULLS LAST) AS nth,
+               10 * count(*) OVER (PARTITION BY n_features >= 20) // 100 AS drawn
+        FROM scored)
+    SELECT doc_id, n_features, weight, score,
+           CASE WHEN n_features >= 20 AND nth <= drawn THEN CAST(nth AS BIGINT) END AS rank
+    FROM ordered"""
