@@ -4,6 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from strandline.llm.conversation_trie import conversation_trie
 from strandline.llm.decontamination import contamination
 from strandline.llm.html_text import extracted
 from strandline.llm.importance import importance
@@ -252,3 +253,55 @@ ORACLE["op11_importance"] = rf"""
     SELECT doc_id, n_features, weight, score,
            CASE WHEN n_features >= 20 AND nth <= drawn THEN CAST(nth AS BIGINT) END AS rank
     FROM ordered"""
+
+
+@query
+def op12_conversation_trie(spark, sf_dir):
+    return conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
+ORACLE["op12_conversation_trie"] = rf"""
+    WITH {_CRC_TABLE},
+    turns AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) - 1
+                  AS nth
+        FROM (SELECT CAST(conv_id AS BIGINT) AS conv_id, turn,
+                     CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS size,
+                     sha256(octet_length(encode(coalesce(role, ''))) || ':'
+                            || coalesce(role, '') || coalesce(text, '')) AS digest
+              FROM conversations WHERE conv_id IS NOT NULL)),
+    heads AS (
+        SELECT conv_id, {_crc_sql("CAST(conv_id AS VARCHAR)")} % 9 AS h
+        FROM (SELECT DISTINCT conv_id FROM turns), crc_table),
+    rebuilt AS (
+        SELECT c.conv_id, nth, digest, size
+        FROM heads c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % 5 WHERE nth < h
+        UNION ALL
+        SELECT conv_id, nth, digest, size FROM turns JOIN heads USING (conv_id) WHERE nth >= h),
+    members AS (
+        SELECT conv_id, CAST(row_number() OVER w AS BIGINT) AS depth, size,
+               sha256(string_agg(digest, '') OVER w) AS key
+        FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY nth ROWS UNBOUNDED PRECEDING)
+        UNION ALL
+        SELECT conv_id, 0, 0, '' FROM heads),
+    linked AS (
+        SELECT *, lag(key) OVER w AS above, lead(key) OVER w IS NULL AS ends
+        FROM members WINDOW w AS (PARTITION BY conv_id ORDER BY depth)),
+    nodes AS (
+        SELECT key, depth, any_value(above) AS above, min(conv_id) AS conv_id,
+               count(*) AS n_convs, CAST((count(*) - 1) * any_value(size) AS BIGINT) AS saved,
+               sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)
+                               FILTER (WHERE ends), '')) AS ends_sha256
+        FROM linked GROUP BY key, depth),
+    kin AS (SELECT above AS key, count(*) AS n_children FROM nodes
+            WHERE above IS NOT NULL GROUP BY above),
+    full_nodes AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children
+                   FROM nodes LEFT JOIN kin USING (key)),
+    below AS (
+        SELECT m.key, count(*) FILTER (WHERE n.n_children = 0) AS n_leaves, sum(n.saved) AS saved
+        FROM full_nodes n JOIN members m ON m.conv_id = n.conv_id AND m.depth <= n.depth
+        GROUP BY m.key)
+    SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, CAST(n.n_convs AS BIGINT) AS n_convs,
+           CAST(n.n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+           CAST(b.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+    FROM full_nodes n JOIN below b USING (key) LEFT JOIN nodes p ON p.key = n.above"""
