@@ -9,6 +9,7 @@ from strandline.llm.decontamination import contamination
 from strandline.llm.html_text import extracted
 from strandline.llm.importance import importance
 from strandline.llm.language import languages
+from strandline.llm.language_model import language_model
 from strandline.llm.mixing import copies
 from strandline.llm.near_duplicates import near_duplicates
 from strandline.llm.quality import quality
@@ -305,3 +306,8 @@ ORACLE["op12_conversation_trie"] = rf"""
            CAST(n.n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
            CAST(b.saved AS BIGINT) AS saved_tokens, n.ends_sha256
     FROM full_nodes n JOIN below b USING (key) LEFT JOIN nodes p ON p.key = n.above"""
+
+
+@query
+def op13_language_model(spark, sf_dir):
+    return language_model(_table(spark, sf_dir, "documents"))
