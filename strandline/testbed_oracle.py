@@ -121,10 +121,31 @@ def _over_pairs(select: str) -> str:
     return with_views(f", {_OVERLAP.strip()}\n{select}", "read_pairs")
 
 
-# All placements with few mismatches: m + 1 disjoint blocks, one of them is clean.
+# Contigs in pieces that overlap by the longest read, as a slice of a long text costs its length;
+# and the first bases at every position, a row each, which all threads share.
+_STEP = 1000
+
+
+def _pieces(reads: str) -> str:
+    return f"""
+reach AS (SELECT max(length(seq)) AS reach FROM {reads}),
+pieces AS MATERIALIZED (
+    SELECT chrom_idx, chrom, length, i * {_STEP} AS start,
+           substr(seq, CAST(i * {_STEP} + 1 AS INTEGER), CAST({_STEP} + reach AS INTEGER)) AS piece
+    FROM (SELECT *, unnest(range(CAST(ceil(length / {_STEP}.0) AS BIGINT))) AS i FROM contigs),
+         reach),
+positions AS MATERIALIZED (
+    SELECT chrom_idx, start, p, substr(piece, CAST(p + 1 AS INTEGER), {SEED}) AS ahead
+    FROM (SELECT *, unnest(range(least({_STEP}, length(piece)))) AS p FROM pieces))"""
+
+
+# All placements with few mismatches. Of m + 1 disjoint blocks of a read one is clean; reads of
+# less than three bases a block meet all different windows of their length instead.
+_LEAST = 3 * (MAX_MISMATCHES + 1)
 _BLOCK = f"least({SEED}, length(q) // {MAX_MISMATCHES + 1})"
 _PLACED = f"""
-queries AS (SELECT DISTINCT seq FROM mates),
+{_pieces("mates")},
+queries AS (SELECT DISTINCT seq FROM mates WHERE length(seq) > 0),
 oriented AS (
     SELECT seq, '+' AS strand, seq AS q FROM queries
     UNION ALL
@@ -132,27 +153,39 @@ oriented AS (
 seeds AS (
     SELECT *, substr(q, CAST(b * {_BLOCK} + 1 AS INTEGER), CAST({_BLOCK} AS INTEGER)) AS kmer,
            {_BLOCK} AS size
-    FROM (SELECT *, unnest(range({MAX_MISMATCHES + 1})) AS b FROM oriented)),
+    FROM (SELECT *, unnest(range({MAX_MISMATCHES + 1})) AS b FROM oriented
+          WHERE length(q) >= {_LEAST})),
 kmers AS (
-    SELECT chrom_idx, p, size, substr(seq, CAST(p + 1 AS INTEGER), CAST(size AS INTEGER)) AS kmer
-    FROM (SELECT chrom_idx, seq, size, unnest(range(length - size + 1)) AS p
-          FROM contigs, (SELECT DISTINCT size FROM seeds) WHERE length >= size)),
+    SELECT chrom_idx, start + p AS p, size, substr(ahead, 1, CAST(size AS INTEGER)) AS kmer
+    FROM positions, (SELECT DISTINCT size FROM seeds) WHERE length(ahead) >= size),
 proposed AS (
     SELECT DISTINCT s.seq, s.strand, s.q, k.chrom_idx, k.p - s.b * s.size AS pos0
     FROM seeds s JOIN kmers k USING (kmer, size)
     WHERE k.p >= s.b * s.size),
-hits AS (
+compared AS (
     SELECT o.seq, o.strand, c.chrom, o.chrom_idx, o.pos0,
-           hamming(o.q, substr(c.seq, CAST(o.pos0 + 1 AS INTEGER), length(o.q))) AS mm
-    FROM proposed o JOIN contigs c USING (chrom_idx)
-    WHERE o.pos0 + length(o.q) <= c.length
-      AND hamming(o.q, substr(c.seq, CAST(o.pos0 + 1 AS INTEGER), length(o.q)))
-          <= {MAX_MISMATCHES}),
+           hamming(o.q, substr(piece, CAST(o.pos0 - start + 1 AS INTEGER), length(o.q))) AS mm
+    FROM proposed o JOIN pieces c
+        ON c.chrom_idx = o.chrom_idx AND c.start = o.pos0 // {_STEP} * {_STEP}
+    WHERE o.pos0 + length(o.q) <= c.length),
+windows AS (
+    SELECT size, substr(ahead, 1, CAST(size AS INTEGER)) AS win, count(*) AS copies,
+           min(struct_pack(i := chrom_idx, p := start + p)) AS first
+    FROM positions, (SELECT DISTINCT length(seq) AS size FROM queries
+                     WHERE length(seq) < {_LEAST})
+    WHERE length(ahead) >= size GROUP BY ALL),
+hits AS (
+    SELECT seq, strand, chrom, chrom_idx, pos0, mm, 1 AS copies FROM compared
+    WHERE mm <= {MAX_MISMATCHES}
+    UNION ALL
+    SELECT oriented.seq, strand, chrom, first.i, first.p, hamming(q, win), copies
+    FROM oriented JOIN windows ON size = length(q) AND hamming(q, win) <= {MAX_MISMATCHES}
+    JOIN contigs ON contigs.chrom_idx = first.i),
 summed AS (
     SELECT seq,
-           CAST(count(*) FILTER (WHERE mm = 0) AS BIGINT) AS hits_0,
-           CAST(count(*) FILTER (WHERE mm = 1) AS BIGINT) AS hits_1,
-           CAST(count(*) FILTER (WHERE mm = 2) AS BIGINT) AS hits_2
+           CAST(coalesce(sum(copies) FILTER (WHERE mm = 0), 0) AS BIGINT) AS hits_0,
+           CAST(coalesce(sum(copies) FILTER (WHERE mm = 1), 0) AS BIGINT) AS hits_1,
+           CAST(coalesce(sum(copies) FILTER (WHERE mm = 2), 0) AS BIGINT) AS hits_2
     FROM hits GROUP BY seq),
 ranked AS (
     SELECT *, row_number() OVER (PARTITION BY seq
@@ -462,22 +495,29 @@ ORACLE: dict[str, str] = {
         "read_pairs",
     ),
     "exact_placement": with_views(
-        """, starts AS (
+        f""", {_pieces("reads").strip()},
+        starts AS (
             SELECT DISTINCT seq, substr(seq, 1, 15) AS kmer,
                    length(substr(seq, 1, 15)) AS size
             FROM reads WHERE length(seq) > 0),
-        kmers AS (
-            SELECT chrom_idx, p, size,
-                   substr(seq, CAST(p + 1 AS INTEGER), CAST(size AS INTEGER)) AS kmer
-            FROM (SELECT chrom_idx, seq, size, unnest(range(length - size + 1)) AS p
-                  FROM contigs, (SELECT DISTINCT size FROM starts) WHERE length >= size)),
+        found AS (
+            SELECT r.seq, k.chrom_idx, k.start, k.p
+            FROM starts r
+            JOIN (SELECT chrom_idx, start, p, size,
+                         substr(ahead, 1, CAST(size AS INTEGER)) AS kmer
+                  FROM positions, (SELECT DISTINCT size FROM starts)
+                  WHERE length(ahead) >= size) k USING (kmer, size)),
         hits AS (
-            SELECT r.seq, c.chrom, k.chrom_idx, k.p
-            FROM starts r JOIN kmers k USING (kmer, size)
-            JOIN contigs c USING (chrom_idx)
-            WHERE substr(c.seq, CAST(k.p + 1 AS INTEGER), length(r.seq)) = r.seq),
+            SELECT seq, chrom_idx, count(*) AS n, min(start + p) AS p FROM found
+            WHERE length(seq) <= 15 GROUP BY ALL
+            UNION ALL
+            SELECT f.seq, chrom_idx, count(*), min(start + p)
+            FROM found f JOIN pieces USING (chrom_idx, start)
+            WHERE length(f.seq) > 15
+                  AND substr(piece, CAST(p + 1 AS INTEGER), length(f.seq)) = f.seq
+            GROUP BY ALL),
         summed AS (
-            SELECT seq, count(*) AS n_hits, count(DISTINCT chrom_idx) AS n_contigs,
+            SELECT seq, sum(n) AS n_hits, count(*) AS n_contigs,
                    min(CAST(chrom_idx AS BIGINT) * 1000000000 + p) AS first
             FROM hits GROUP BY seq)
         SELECT r.sample_id, r.read_id, r.mate,
