@@ -229,6 +229,7 @@ ORACLE: dict[str, str] = {
                 SELECT sample_id, CAST(count(*) AS VARCHAR) AS total_regions,
                        CAST(CAST(sum(depth) AS DOUBLE) / count(*) AS VARCHAR) AS mean_coverage,
                        CAST(CAST(median(depth) AS DOUBLE) AS VARCHAR) AS median_coverage,
+                       printf('%.9f', stddev_samp(depth)) AS std_coverage,
                        CAST(CAST(max(depth) AS DOUBLE) AS VARCHAR) AS max_coverage,
                        CAST(CAST(min(depth) AS DOUBLE) AS VARCHAR) AS min_coverage,
                        CAST(CAST(sum(depth) AS BIGINT) AS VARCHAR) AS total_bases_covered,
@@ -581,6 +582,11 @@ ORACLE: dict[str, str] = {
         WHERE chrom = 'chr2' AND pos0 >= 200 AND pos0 < 6000""",
         "alignments",
     ),
+    "alignment_store_overlaps": with_views(
+        f"""SELECT {_RECORD} FROM alignments
+        WHERE chrom = 'chr2' AND pos0 < 6000 AND pos0 + greatest(span, 1) > 230""",
+        "alignments",
+    ),
     "bedgraph_round_trip": _over_depth("SELECT * FROM depth"),
     "fasta_round_trip": with_views("SELECT chrom, length, seq FROM contigs", "contigs"),
     "fai_round_trip": with_views("SELECT chrom, length FROM contigs", "contigs"),

@@ -93,7 +93,9 @@ def depth_stats_text(spark, sf_dir):
     text = depth.depth_report(_depth(spark, sf_dir))
     figures = text.select("sample_id", F.explode("stats").alias("name", "value"))
     # the last digit of a root may differ between engines
-    return figures.filter("name <> 'std_coverage'")
+    root = F.format_string("%.9f", F.col("value").cast("double"))
+    rounded_root = F.when(F.col("name") == "std_coverage", root).otherwise(F.col("value"))
+    return figures.select("sample_id", "name", rounded_root.alias("value"))
 
 
 @query
@@ -403,6 +405,14 @@ def alignment_store_region(spark, sf_dir):
     return sam.region(stored_records, "chr2", 200, 6000).select(*ALIGNMENT_COLUMNS)
 
 
+@query
+def alignment_store_overlaps(spark, sf_dir):
+    path = scratch_path(spark, "store")
+    records = testbed.view(spark, sf_dir, "alignments").to(ALIGNMENTS)
+    sam.write_alignment_store(records, path)
+    return sam.stored_overlaps(spark, path, "chr2", 230, 6000).select(*ALIGNMENT_COLUMNS)
+
+
 @query
 def bedgraph_round_trip(spark, sf_dir):
     path = scratch_path(spark, "bedgraph")
