@@ -38,6 +38,49 @@ def test_dense_lines_without_article():
     assert main_text(page) == "\n\n".join(("Title", prose.strip(), "Short.", prose.strip()))
 
 
+PROSE = [f"Paragraph {i} tells at some length what the page has to say about it. " * 2 for i in range(6)]
+
+
+def page(article, beside, footer):
+    """A page with a menu, an advert, an article with a short paragraph, and a footer."""
+    menu = "".join(f"<li><a href='/{i}'>menu {i}</a></li>" for i in range(6))
+    body = "<p>Short.</p>".join(f"<p>{text}</p>" for text in PROSE)
+    return (
+        f"<body><{beside}><ul>{menu}</ul></{beside.split()[0]}><div>Buy it now, cheap.</div>"
+        f"<{article}><h1>Title</h1>{body}</{article.split()[0]}><{footer}>&copy; someone</{footer}>"
+    )
+
+
+def test_neutral_names_give_the_same_text():
+    wanted = main_text(page("article", "nav class='menu'", "footer"))
+    assert wanted == "\n\n".join(("Title", "\n\nShort.\n\n".join(t.strip() for t in PROSE)))
+    assert main_text(page("div class='x1'", "div class='x2'", "div")) == wanted
+    assert main_text(page("section", "section", "section")) == wanted
+
+
+@pytest.mark.parametrize("wrapper", ["article", "div class='q'"])
+def test_adverts_and_menus_inside_the_article(wrapper):
+    plain = page(wrapper, "nav", "footer")
+    links = "<div class='z'>" + "<span><a href='x'>Other page</a></span><br>" * 5 + "</div>"
+    advert = "<div class='z9'><b>Buy</b> <i>now</i> <a href='x'>here</a></div>"
+    for part in (links, advert):
+        at = plain.index("<p>Paragraph 3")
+        assert main_text(plain[:at] + part + plain[at:]) == main_text(plain)
+
+
+def test_ratios_choose_the_region(monkeypatch):
+    html = page("div", "div", "div")
+    wanted = main_text(html)
+    monkeypatch.setattr("strandline.llm.html_text._smoothed", lambda ratios: [-x for x in ratios])
+    assert main_text(html) != wanted
+
+
+def test_deeply_nested_markup():
+    assert main_text("<div>x" * 200_000).count("x") == 200_000
+    assert main_text("<b>" * 200_000 + "text" + "</i>" * 200_000) == "text"
+    assert main_text("<ul><li>y" * 100_000).count("y") == 100_000
+
+
 def test_extracted(spark):
     rows = [(1, "u", "<p>a</p>", 3), (1, "u", "<p>a</p>", 3), (None, None, None, None)]
     rows.append((2, "v", "<article>" + "<p>x</p>" * 20_000, 1))
