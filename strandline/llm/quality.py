@@ -23,18 +23,14 @@ _BINS = 2000
 _EULER = 0.5772156649
 _USUAL_LINES = 3
 _SHRUNK = 120
+_FINE = 2000  # words among which one symbol is much
 
 _BYTES = np.arange(256)
 _WHITE = (_BYTES == 0x20) | ((_BYTES >= 0x09) & (_BYTES <= 0x0D))
 _SYMBOL = np.isin(_BYTES, list(b"#*$%&|<>"))
-_UPPER = (_BYTES >= 0x41) & (_BYTES <= 0x5A)
-_LATIN_UPPER = (_BYTES >= 0x80) & (_BYTES <= 0x9E)  # after 0xC3
-_MARK = np.isin(_BYTES, list(b"!?.,;:()[]{}\"'-_=+/@^~`\\"))
 _FIRST = (_BYTES < 0x80) | (_BYTES >= 0xC0)  # of a code point
 
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-MORE = ("n_upper", "n_marks")
-_ALL = (*STATISTICS, *MORE)
 
 
 def _repeated(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,12 +59,6 @@ def _sums(marked: np.ndarray, places: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate(([0], np.cumsum(marked, dtype=np.int64)))[places])
 
 
-def _upper(data: np.ndarray) -> np.ndarray:
-    out = _UPPER[data]
-    out[1:] |= (data[:-1] == 0xC3) & _LATIN_UPPER[data[1:]]
-    return out
-
-
 def _dup_lines(text: bytes) -> int:
     lines = [line for line in text.split(b"\n") if line.strip()]
     return len(lines) - len(set(lines))
@@ -85,12 +75,10 @@ def _statistics(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _sums(_SYMBOL[data], places),
             np.array([_dup_lines(raw[a:b]) for a, b in zip(bounds, bounds[1:])], np.int64),
             n_repeat,
-            _sums(_upper(data), places),
-            _sums(_MARK[data], places),
         )
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in found)],
-            names=["doc_id", *_ALL],
+            names=["doc_id", *STATISTICS],
         )
 
 
@@ -105,14 +93,15 @@ def _features(statistics: Iterable[np.ndarray], usual: np.ndarray) -> np.ndarray
 
     ``usual`` has the rates of letters and of further repeated lines in all texts together. Every
     text is given ``_SHRUNK`` words more at these rates, as such rates of a few words mean little;
-    not so for symbols, as ordinary texts of any length have hardly any. Repeated words have their
+    not so for symbols, as ordinary texts of any length have hardly any, and the logarithm of their
+    rate counts, so that few differ from none as much as many from few. Repeated words have their
     limit in ``base_failed``, and a few repeated lines are usual, so only further ones count here.
-    Upper case and marks vary too much among ordinary texts and don't count.
     """
     words, chars, symbols, dup, *_ = (np.asarray(x, float) for x in statistics)
     counts = np.stack((chars, np.maximum(dup - _USUAL_LINES, 0)), axis=1)
     shrunk = (counts + _SHRUNK * usual) / (words + _SHRUNK)[:, None]
-    return np.column_stack((shrunk[:, 0], symbols / np.maximum(words, 1), shrunk[:, 1]))
+    rate = np.log1p(symbols / np.maximum(words, 1) * _FINE)
+    return np.column_stack((shrunk[:, 0], rate, shrunk[:, 1]))
 
 
 @dataclass
@@ -176,7 +165,7 @@ class Forest:
 def _scorer(forest: Forest, usual: np.ndarray) -> Callable:
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = _features((batch.column(name).to_numpy() for name in _ALL), usual)
+            rows = _features((batch.column(name).to_numpy() for name in STATISTICS), usual)
             yield batch.append_column("anomaly", pa.array(forest.scores(rows)))
 
     return score
@@ -185,8 +174,8 @@ def _scorer(forest: Forest, usual: np.ndarray) -> Callable:
 def quality(docs: DataFrame, labels: DataFrame, most_lost: float = MOST_LOST) -> DataFrame:
     """Rule statistics and verdict for every whole text of ``docs``.
 
-    Returns, one row per row of ``docs``, ``doc_id``, the columns ``STATISTICS``, ``MORE``, ``anomaly``
-    (0 to 1; ``MORE`` has no part in it), ``base_failed`` (too few words, or too many inside windows that are there twice or
+    Returns, one row per row of ``docs``, ``doc_id``, the columns ``STATISTICS``, ``anomaly``
+    (0 to 1), ``base_failed`` (too few words, or too many inside windows that are there twice or
     more) and ``kept``: false if ``base_failed``, else whether the anomaly is below the threshold.
 
     The forest is grown from a sample of about ``TREES * TREE_ROWS`` rows that are not
@@ -201,7 +190,7 @@ def quality(docs: DataFrame, labels: DataFrame, most_lost: float = MOST_LOST) ->
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
-    columns = ", ".join(f"{name} long" for name in _ALL)
+    columns = ", ".join(f"{name} long" for name in STATISTICS)
     found = stored(rows.mapInArrow(_statistics, f"doc_id {kind}, {columns}"), "statistics")
     sound = found.filter(~base_failed())
     extra = F.greatest(F.col("n_dup_lines") - _USUAL_LINES, F.lit(0))
@@ -209,10 +198,10 @@ def quality(docs: DataFrame, labels: DataFrame, most_lost: float = MOST_LOST) ->
         F.count("*"), F.sum("n_words"), F.sum("word_chars"), F.sum(extra)
     ).first()
     usual = np.array([x or 0 for x in sums], float) / max(words or 0, 1)
-    draw = F.pmod(F.xxhash64("doc_id", *_ALL), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64("doc_id", *STATISTICS), F.lit(1 << 30)) / float(1 << 30)
     wanted = TREES * TREE_ROWS
-    sample = sound.filter(draw * total < wanted).select(*_ALL).orderBy(*_ALL).toPandas()
-    forest = Forest.grown(_features((sample[name].to_numpy() for name in _ALL), usual))
+    sample = sound.filter(draw * total < wanted).select(*STATISTICS).orderBy(*STATISTICS).toPandas()
+    forest = Forest.grown(_features((sample[name].to_numpy() for name in STATISTICS), usual))
     scored = found.mapInArrow(_scorer(forest, usual), f"doc_id {kind}, {columns}, anomaly double")
     limit = _threshold(scored.filter(~base_failed()), labels, most_lost)
     return scored.withColumn("base_failed", base_failed()).withColumn(
