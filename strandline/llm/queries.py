@@ -1,4 +1,4 @@
-"""The ten operators as queries over whole tables, and their SQL where there is one."""
+"""The thirteen operators as queries over whole tables, and their SQL where there is one."""
 
 from collections.abc import Callable
 
