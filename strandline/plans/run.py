@@ -14,6 +14,7 @@ from datetime import datetime, timezone
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from strandline.functions.alignment import reference_length
 from strandline.operators import accounting, alignments, depth, placement, reads
 from strandline.schemas import LEDGER
 from strandline.sources import fasta, fastq, manifest, sam, tables
@@ -24,13 +25,21 @@ SAM_PROCESSING = "sam_processing"
 COVERAGE = "coverage"
 PIPELINE = "run"
 
+#: What the alignment store keeps: records that pass the filters, or all as they are.
+HYBRID, CLASSIC = "hybrid", "classic"
+
 RAW = ("seq1", "qual1", "seq2", "qual2")
 
 
 @dataclass(frozen=True)
 class Options:
-    """Parameters of a run; the defaults are those of the original tools."""
+    """Parameters of a run; the defaults are those of the original tools.
+
+    A ``pipeline`` of the type ``classic`` stores all alignments in order, unmapped ones too, and
+    filters none; its depth counts all that are mapped.
+    """
 
+    pipeline: str = HYBRID
     mapq_threshold: int = 0
     remove_duplicates: bool = False
     contig_order: str = "header"
@@ -61,6 +70,8 @@ class Run:
         self.reference = reference
         self.index = index
         self.output = output.rstrip("/")
+        if options.pipeline not in (HYBRID, CLASSIC):
+            raise ValueError(f"a pipeline of the type {options.pipeline}")
         self.options = options
         self.run_id = uuid.uuid4().hex
         self.started_at = None
@@ -152,6 +163,7 @@ class Run:
         end = time.time()
         summary = self.spark.range(1).select(
             F.lit(PIPELINE).alias("stage"),
+            F.lit(self.options.pipeline).alias("pipeline_type"),
             F.lit(status).alias("status"),
             F.lit(error).cast("string").alias("error"),
             F.lit(_iso(self.started_at)).alias("start_time"),
@@ -240,20 +252,41 @@ class Run:
         self.save(result, "preprocessed_results")
         self.record(PREPROCESSING, status, outcome, F.col("error"), begun)
 
-    def _finish_stage(self, name: str, begun: float, previous: str) -> None:
-        """All samples that reached a stage that has no way to fail one of them."""
-        self.record(
-            name,
-            self.successes(previous),
-            F.lit(accounting.SUCCESS),
-            F.lit(None).cast("string"),
-            begun,
+    def _finish_stage(
+        self, name: str, begun: float, previous: str, broken: DataFrame | None = None
+    ) -> None:
+        """Ledger rows of all samples that reached a stage; ``broken`` ones have an error."""
+        samples = self.successes(previous).withColumn("error", F.lit(None).cast("string"))
+        if broken is not None:
+            samples = samples.drop("error").join(broken, "sample_id", "left")
+        failed = F.col("error").isNotNull()
+        status = F.when(failed, accounting.ERROR).otherwise(accounting.SUCCESS)
+        self.record(name, samples, status, F.col("error"), begun)
+
+    def _sound(self, table: DataFrame, fault: Column, stage: str) -> tuple[DataFrame, DataFrame]:
+        """The rows of samples without a faulty row, and the other samples with one complaint.
+
+        ``fault`` is null for a sound row. The complaints are a small table of their own, which
+        takes the samples out of what goes on and is what the ledger says of them.
+        """
+        broken = self.save(
+            table.select("sample_id", fault.alias("error"))
+            .filter("error is not null")
+            .groupBy("sample_id")
+            .agg(F.min("error").alias("error")),
+            f"errors/{stage}",
         )
+        return table.join(broken, "sample_id", "left_anti").select(*table.columns), broken
 
     def align(self) -> None:
-        """Best placement of every clean read, as alignment records."""
+        """Best placement of every clean read, as alignment records.
+
+        A sample with a read that isn't letters, or whose qualities don't fit, has an error.
+        """
         begun = time.time()
-        clean = self.load("reads_clean")
+        odd = F.col("seq").rlike("[^A-Za-z]") | (F.length("seq") != F.length("qual"))
+        fault = F.when(odd, F.concat(F.lit("read that is no sequence: "), "read_id"))
+        clean, broken = self._sound(self.load("reads_clean"), fault, ALIGNMENT)
         margin = placement.longest_read(clean)
         tiles = fasta.read_fasta_tiles(
             self.spark, self.reference, self.index, margin=margin
@@ -267,17 +300,23 @@ class Run:
         )
         records = placement.placed_alignments(clean, placed, by_ordinal=True)
         self.save(records, "alignments")
-        self._finish_stage(ALIGNMENT, begun, PREPROCESSING)
+        self._finish_stage(ALIGNMENT, begun, PREPROCESSING, broken)
 
     def process_alignments(self) -> None:
-        """Filter, order and count the alignments."""
+        """Filter, order and count the alignments.
+
+        A sample with a record outside the contigs of the index, or whose CIGAR can't be read,
+        has an error.
+        """
         begun = time.time()
         options = self.options
-        records = self.load("alignments")
         sizes = fasta.read_fai(self.spark, self.index)
-        kept = alignments.filter_alignments(
-            records, options.mapq_threshold, options.remove_duplicates
-        )
+        records, broken = self._records(sizes)
+        kept = records
+        if options.pipeline == HYBRID:
+            kept = alignments.filter_alignments(
+                records, options.mapq_threshold, options.remove_duplicates
+            )
         sam.write_alignment_store(kept, self.path("sorted_alignments"))
         if options.write_sam:
             sam.write_sam(
@@ -290,7 +329,20 @@ class Run:
         )
         tables.write_json(stats, self.path("reports/alignment_stats"), by_sample=True)
         tables.write_json(alignments.flagstat(records), self.path("reports/flagstat"))
-        self._finish_stage(SAM_PROCESSING, begun, ALIGNMENT)
+        self._finish_stage(SAM_PROCESSING, begun, ALIGNMENT, broken)
+
+    def _records(self, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        placed = self.load("alignments")
+        ends = sizes.select("chrom", F.col("length").alias("contig_end"))
+        end = F.col("pos0") + reference_length(F.col("cigar"))
+        unknown = F.col("contig_end").isNull() | (F.col("pos0") < 0) | (end > F.col("contig_end"))
+        fault = F.when(F.col("chrom").isNull(), None).otherwise(
+            F.when(~F.col("cigar").rlike(r"^(\*|(\d+[MIDNSHPX=])+)$"), F.lit("unreadable CIGAR: "))
+            .when(unknown, F.lit("record outside the contigs: "))
+        )
+        checked = placed.join(ends, "chrom", "left")
+        broken = self._sound(checked, F.concat(fault, "qname"), SAM_PROCESSING)[1]
+        return placed.join(broken, "sample_id", "left_anti").select(*placed.columns), broken
 
     def cover(self) -> None:
         """Depth, its statistics, windows and signal levels."""

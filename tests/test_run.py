@@ -5,6 +5,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandline.plans.run import Options, Run
 
@@ -241,3 +242,63 @@ def test_run_records_what_broke(spark, files, tmp_path):
     assert rows["alignment"].status == "error" and "missing.fai" in rows["alignment"].error
     report = spark.read.json(str(tmp_path / "out/reports/run"))
     assert report.filter("stage = 'run'").first().status == "failed"
+
+
+def test_pipeline_types(spark, files, tmp_path):
+    folder, _, _ = files
+    reads = tmp_path / "reads"
+    reads.mkdir()
+    for mate in (1, 2):
+        own = (folder / "reads" / f"B_{mate}.fastq").read_text().splitlines()[:80]
+        own += [f"@nowhere/{mate}", "ACGGT" * 16, "+", "I" * 80]
+        (reads / f"B_{mate}.fastq").write_text("\n".join(own) + "\n")
+    found = {}
+    for kind in ("hybrid", "classic"):
+        out = str(tmp_path / kind)
+        options = Options(pipeline=kind, mapq_threshold=20)
+        Run(
+            spark, str(reads), str(folder / "ref.fa"), str(folder / "ref.fa.fai"), out, options
+        ).execute()
+        store = spark.read.parquet(f"{out}/sorted_alignments")
+        depth = spark.read.parquet(f"{out}/depth").selectExpr("sum((end - start) * depth)")
+        report = spark.read.json(f"{out}/reports/run").filter("stage = 'run'").first()
+        found[kind] = (store.count(), store.filter("flag & 4 <> 0").count(), depth.first()[0])
+        assert report.pipeline_type == kind
+    assert found == {"hybrid": (40, 0, 3200), "classic": (42, 2, 3200)}
+    with pytest.raises(ValueError):
+        Run(spark, "r", "f", "i", "o", Options(pipeline="other"))
+
+
+def test_one_bad_sample_in_each_stage(spark, files, tmp_path):
+    folder, _, _ = files
+    reads = tmp_path / "reads"
+    reads.mkdir()
+    for sample in ("fine", "nosequence", "outside"):
+        for mate in (1, 2):
+            own = (folder / "reads" / f"B_{mate}.fastq").read_text().splitlines()[:80]
+            if sample == "nosequence":
+                own[1] = own[1][:-1] + "?"
+            (reads / f"{sample}_{mate}.fastq").write_text("\n".join(own) + "\n")
+
+    class Moved(Run):
+        """A run whose alignments of one sample are spoilt before the next stage."""
+
+        def process_alignments(self):
+            placed = self.load("alignments")
+            spoilt = placed.sample_id == "outside"
+            moved = placed.withColumn("pos0", F.when(spoilt, placed.pos0 + 10**6).otherwise(placed.pos0))
+            rows = spark.createDataFrame(moved.collect(), placed.schema)
+            self.save(rows, "alignments")
+            super().process_alignments()
+
+    run = Moved(
+        spark, str(reads), str(folder / "ref.fa"), str(folder / "ref.fa.fai"), str(tmp_path / "out")
+    )
+    run.execute()
+    bad = run.ledger().filter("status = 'error'").select("stage", "sample_id", "error").collect()
+    assert sorted((r.stage, r.sample_id, r.error.split(":")[0]) for r in bad) == [
+        ("alignment", "nosequence", "read that is no sequence"),
+        ("sam_processing", "outside", "record outside the contigs"),
+    ]
+    assert [r.sample_id for r in run.successes("coverage").collect()] == ["fine"]
+    assert {r.sample_id for r in run.load("depth").collect()} == {"fine"}
