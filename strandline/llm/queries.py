@@ -162,6 +162,47 @@ def op7_suffix_dedup(spark, sf_dir):
     return removal(_table(spark, sf_dir, "documents"))
 
 
+# Bytes as pairs of hex digits; texts are cut first, as a slice of a long one costs its length.
+ORACLE["op7_suffix_dedup"] = """
+    WITH docs AS (
+        SELECT doc_id, hex(encode(coalesce(text, ''))) AS h,
+               CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes
+        FROM documents),
+    pieces AS (
+        SELECT doc_id, i * 1000 AS start,
+               substr(h, CAST(i * 2000 + 1 AS INTEGER), 2098) AS piece
+        FROM (SELECT *, unnest(range(CAST(ceil(n_bytes / 1000.0) AS BIGINT))) AS i FROM docs)),
+    strings AS MATERIALIZED (
+        SELECT doc_id, start + p AS place, substr(piece, CAST(2 * p + 1 AS INTEGER), 100) AS string
+        FROM (SELECT *, unnest(range(least(1000, length(piece) // 2 - 49))) AS p FROM pieces
+              WHERE length(piece) >= 100)),
+    firsts AS (SELECT string, min(doc_id) AS least_id FROM strings
+               GROUP BY string HAVING count(*) > 1),
+    gone AS (SELECT doc_id, place FROM strings JOIN firsts USING (string) WHERE least_id < doc_id),
+    marked AS (
+        SELECT doc_id, place, coalesce(place > lag(place) OVER w + 50, true)::INTEGER AS new
+        FROM gone WINDOW w AS (PARTITION BY doc_id ORDER BY place)),
+    runs AS (
+        SELECT doc_id, min(place) AS low, max(place) + 50 AS high
+        FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY place
+                                       ROWS UNBOUNDED PRECEDING) AS run FROM marked)
+        GROUP BY doc_id, run),
+    edges AS (
+        SELECT doc_id, low, high,
+               coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 0) AS before
+        FROM runs),
+    kept AS (
+        SELECT doc_id, sum(high - low) AS n_removed, count(*) AS n_spans, max(high) AS last,
+               string_agg(substr(h, CAST(2 * before + 1 AS INTEGER),
+                                 CAST(2 * (low - before) AS INTEGER)), '' ORDER BY low) AS heads
+        FROM edges JOIN docs USING (doc_id) GROUP BY doc_id)
+    SELECT doc_id, n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+           CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+           sha256(unhex(coalesce(heads, '')
+                        || substr(h, CAST(2 * coalesce(last, 0) + 1 AS INTEGER)))) AS kept_sha256
+    FROM docs LEFT JOIN kept USING (doc_id)"""
+
+
 @query
 def op8_url_filter(spark, sf_dir):
     return judged(
