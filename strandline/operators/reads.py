@@ -4,7 +4,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from strandline.functions import sequence as S
+from strandline.functions import cycles, sequence as S
 from strandline.functions.overlap import overlap_offset
 
 # Default filter limits (fixed values).
@@ -126,22 +126,20 @@ def read_qc(reads: DataFrame) -> DataFrame:
 def cycle_profile(reads: DataFrame) -> DataFrame:
     """Mean quality and base composition at each position of the reads.
 
-    Partial aggregation leaves one row per sample, mate and position in each map
-    task, so the shuffle is bounded by read length, not by the number of bases.
+    Each Arrow batch is counted as a whole and leaves one row per sample, mate and position,
+    so no row stands for a base, and the shuffle is bounded by read length.
     """
-    base, score = F.col("_at.base"), F.ascii("_at.score") - S.PHRED_OFFSET
-    cells = F.arrays_zip(
-        S.characters(F.col("seq")).alias("base"),
-        S.characters(F.col("qual")).alias("score"),
-    )
+    figures = ("bases", "quality_sum", *(f"{b.lower()}_bases" for b in cycles.BASES))
     return (
-        reads.select("sample_id", "mate", F.posexplode(cells).alias("_pos", "_at"))
-        .groupBy("sample_id", "mate", (F.col("_pos") + 1).alias("cycle"))
-        .agg(
-            F.count("*").alias("bases"),
-            F.sum(score.cast("long")).alias("quality_sum"),
-            *[F.count_if(base == b).alias(f"{b.lower()}_bases") for b in "ACGTN"],
+        reads.select(
+            F.col("sample_id").cast("string").alias("sample_id"),
+            F.col("mate").cast("byte").alias("mate"),
+            "seq",
+            "qual",
         )
+        .mapInArrow(cycles.counted(S.PHRED_OFFSET), cycles.COUNTED)
+        .groupBy("sample_id", "mate", "cycle")
+        .agg(*[F.sum(name).alias(name) for name in figures])
         .withColumn("mean_quality", S.ratio(F.col("quality_sum"), F.col("bases")))
     )
 

@@ -201,3 +201,18 @@ def test_pairs_by_record(spark, monkeypatch):
     ]
     assert [r.names_differ for r in found[:6]] == [False] * 5 + [True]
     assert [r.error for r in found] == [None] * 6 + ["broken", "read without mate: x"]
+
+
+def test_cycle_profile_of_uneven_reads(spark):
+    rows = [("s", "r1", 1, "ACé", "I5"), ("s", "r2", 1, "A", "55#"), ("s", "r3", 2, "", "")]
+    rows += [("s", "r4", 1, None, "II"), ("s", "r5", 1, "AC", None), (None, "r6", None, "N", "")]
+    frame = spark.createDataFrame(rows, "sample_id string, read_id string, mate byte, seq string, qual string")
+    found = {(r.sample_id, r.cycle): r for r in R.cycle_profile(frame).collect()}
+    assert sorted(found, key=str) == [("s", 1), ("s", 2), ("s", 3), (None, 1)]
+    first, second, third = (found["s", i] for i in (1, 2, 3))
+    assert (first.bases, first.a_bases, first.quality_sum) == (2, 2, 60)
+    assert (second.bases, second.c_bases, second.quality_sum) == (2, 1, 40)
+    assert (third.bases, third.a_bases, third.quality_sum, third.mean_quality) == (2, 0, 2, 1.0)
+    none = found[None, 1]
+    assert (none.bases, none.n_bases, none.quality_sum, none.mean_quality) == (1, 1, None, None)
+    assert R.cycle_profile(frame.limit(0)).count() == 0
