@@ -3,9 +3,10 @@
 Each view exists twice: as a Spark DataFrame and as the SQL that other engines run.
 """
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from strandline.operators.reads import split_pairs
+from strandline.sources.fastq import record_text
 
 # Each character of a text is one base: a letter its own, "_" stands for any other.
 LETTERS = "abcdefghijklmnopqrstuvwxyz_"
@@ -16,6 +17,11 @@ READ_LENGTH = 100
 PAIR_STRIDE = 150
 PAIR_SHIFT = 60
 
+#: Documents of one language whose reads are one sample of a run, at most.
+RUN_DOCUMENTS = 50
+#: What is wrong with every fourth such sample; the others are sound.
+NO_PARTNER, NO_FILE, NO_LETTERS = 1, 2, 3
+
 # Tie-break of records whose input order is equal in the source table.
 RECORD_ORDER = ("ordinal", "flag", "mapq", "cigar", "rnext")
 
@@ -127,6 +133,24 @@ _MATES = """
         SELECT sample_id, read_id, CAST(2 AS TINYINT) AS mate, seq2 AS seq, qual2 AS qual
         FROM read_pairs"""
 
+# The input of a run: samples of some documents each, most of them faulty in one way.
+_RUN_PAIRS = f"""
+        SELECT sample_id || '.' || CAST(part AS VARCHAR) AS sample_id, read_id, part % 4 AS fault,
+               CASE WHEN part % 4 = {NO_LETTERS} THEN '1' || substr(seq1, 2) ELSE seq1 END AS seq1,
+               qual1, seq2, qual2
+        FROM (SELECT *, CAST(floor(CAST(split_part(read_id, '_', 1) AS BIGINT)
+                                   / {RUN_DOCUMENTS}.0) AS BIGINT) AS part
+              FROM read_pairs)"""
+
+_RUN_MATES = f"""
+        SELECT sample_id, read_id, CAST(1 AS TINYINT) AS mate, seq1 AS seq, qual1 AS qual
+        FROM run_pairs
+        UNION ALL
+        SELECT sample_id, read_id, CAST(2 AS TINYINT) AS mate, seq2 AS seq, qual2 AS qual
+        FROM run_pairs
+        WHERE fault <> {NO_FILE}
+          AND (fault <> {NO_PARTNER} OR split_part(read_id, '_', 2) <> '0')"""
+
 
 def _number(count: str, spark: bool) -> str:
     """Rows of ``sequences`` repeated for i = 0 .. count - 1."""
@@ -151,8 +175,9 @@ def view_sql(name: str, spark: bool = False) -> str:
             f" THEN greatest(1, floor(length(seq) / {PAIR_STRIDE}.0)) ELSE 0 END"
         )
         return _PAIRS.format(numbered=_number(count, spark))
-    if name == "mates":
-        return _MATES
+    fixed = {"mates": _MATES, "run_pairs": _RUN_PAIRS, "run_mates": _RUN_MATES}
+    if name in fixed:
+        return fixed[name]
     text = SQL_VIEWS[name]
     if name == "sequences":
         return text.format(**{"global": "" if spark else ", 'g'"})
@@ -166,6 +191,8 @@ DEPENDENCIES = {
     "reads": ("sequences",),
     "read_pairs": ("sequences",),
     "mates": ("sequences", "read_pairs"),
+    "run_pairs": ("sequences", "read_pairs"),
+    "run_mates": ("sequences", "read_pairs", "run_pairs"),
 }
 
 SOURCE_TABLES = ("lineitem", "documents", "orders", "region")
@@ -224,3 +251,65 @@ def write_fai(sizes: DataFrame, path: str) -> None:
         .write.mode("overwrite")
         .text(path)
     )
+
+
+def write_run_input(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """The folder of a run: ``reads/{sample}_{mate}.fastq``, ``ref.fa`` and ``ref.fa.fai``."""
+    mates = view(spark, sf_dir, "run_mates")
+    (
+        mates.withColumn("file", F.concat_ws("_", "sample_id", "mate"))
+        .repartition("file")
+        .sortWithinPartitions("file", "read_id")
+        .select("file", record_text())
+        .write.partitionBy("file")
+        .text(f"{path}/parts/reads")
+    )
+    contigs = view(spark, sf_dir, "contigs")
+    write_fasta(contigs.repartition(1).sortWithinPartitions("chrom_idx"), f"{path}/parts/fasta")
+    _index(contigs).write.text(f"{path}/parts/fai")
+    _move(spark, f"{path}/parts/reads/file=*/part-*", f"{path}/reads")
+    _move(spark, f"{path}/parts/fasta/part-*", path, "ref.fa")
+    _move(spark, f"{path}/parts/fai/part-*", path, "ref.fa.fai")
+
+
+def _index(contigs: DataFrame, width: int = 60) -> DataFrame:
+    """Lines of the index of a file by ``write_fasta``; offsets are sums of sums by thousands."""
+    breaks = F.expr(f"greatest(0L, (length - 1) div {width})")
+    sized = contigs.select(
+        "chrom",
+        "chrom_idx",
+        "length",
+        (F.length("chrom") + 2).alias("head"),
+        (F.length("chrom") + 3 + F.col("length") + breaks).alias("size"),
+        F.expr("chrom_idx div 1000").alias("block"),
+    )
+    order = Window.orderBy("block")
+    blocks = sized.groupBy("block").agg(F.sum("size").alias("block_size")).select(
+        "block", (F.sum("block_size").over(order) - F.col("block_size")).alias("block_start")
+    )
+    inside = F.sum("size").over(Window.partitionBy("block").orderBy("chrom_idx")) - F.col("size")
+    line = F.concat_ws(
+        "\t",
+        "chrom",
+        F.col("length").cast("string"),
+        (F.col("block_start") + F.col("inside") + F.col("head")).cast("string"),
+        F.lit(str(width)),
+        F.lit(str(width + 1)),
+    )
+    return (
+        sized.withColumn("inside", inside)
+        .join(blocks, "block")
+        .repartition(1)
+        .sortWithinPartitions("chrom_idx")
+        .select(line.alias("value"))
+    )
+
+
+def _move(spark: SparkSession, pattern: str, folder: str, name: str | None = None) -> None:
+    """Give written files their place and name, that of their ``file=`` folder by default."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(path(folder))
+    for found in system.globStatus(path(pattern)):
+        own = name or found.getPath().getParent().getName().removeprefix("file=") + ".fastq"
+        system.rename(found.getPath(), path(f"{folder}/{own}"))

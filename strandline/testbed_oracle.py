@@ -1,6 +1,6 @@
 """The testbed queries as SQL for an independent engine."""
 
-from strandline.testbed import with_views
+from strandline.testbed import NO_FILE, NO_LETTERS, NO_PARTNER, with_views
 from strandline.testbed_queries import ALIGNMENT_COLUMNS, MAX_MISMATCHES, SEED
 
 _RECORD = ", ".join(ALIGNMENT_COLUMNS)
@@ -637,3 +637,91 @@ SELECT sample_id, CAST(count(*) AS BIGINT) AS total_reads,
            AS mapping_rate
 FROM ends GROUP BY sample_id""")
 ORACLE["flagstat_parse"] = ORACLE["flagstat"]
+ORACLE["json_reports"] = ORACLE["alignment_stats"]
+
+
+def _places(order: str) -> str:
+    return f"SELECT sample_id, chrom, pos0, ordinal, row_number() OVER (ORDER BY {order}) AS place"
+
+
+ORACLE["coordinate_order"] = with_views(
+    f"""{_places('sample_id, chrom NULLS LAST, pos0 NULLS LAST, ordinal')}
+    FROM alignments""",
+    "alignments",
+)
+ORACLE["coordinate_order_header"] = with_views(
+    f"""{_places('sample_id, chrom_idx NULLS LAST, chrom NULLS LAST, pos0 NULLS LAST, ordinal')}
+    FROM alignments LEFT JOIN chrom_sizes USING (chrom)""",
+    "alignments",
+    "chrom_sizes",
+)
+ORACLE["bed_order"] = _over_depth("""
+    SELECT *, row_number() OVER (ORDER BY sample_id, chrom, "start") AS place FROM depth""")
+
+# A file's bytes: four lines a read, of which the header has a sign more and the third is one.
+ORACLE["file_manifest"] = with_views(
+    """, files AS (
+        SELECT sample_id, mate, sample_id || '_' || CAST(mate AS VARCHAR) || '.fastq' AS path,
+               CAST(sum(length(read_id) + length(seq) + length(qual) + 6) AS BIGINT) AS bytes
+        FROM run_mates GROUP BY sample_id, mate)
+    SELECT a.sample_id, a.path AS r1_path, b.path AS r2_path, a.bytes AS r1_bytes,
+           b.bytes AS r2_bytes,
+           CASE WHEN b.path IS NOT NULL THEN printf('%.2f', a.bytes / 1048576) END AS r1_size_mb,
+           CASE WHEN b.path IS NOT NULL THEN printf('%.2f', b.bytes / 1048576) END AS r2_size_mb
+    FROM files a LEFT JOIN files b ON a.sample_id = b.sample_id AND b.mate = 2
+    WHERE a.mate = 1""",
+    "run_mates",
+)
+
+# Samples leave the run where their fault shows; what is left is cleaned, placed and covered.
+ORACLE["run_ledger"] = with_views(
+    f""",
+{_OVERLAP.strip().replace("FROM read_pairs", "FROM run_pairs")},
+samples AS (SELECT DISTINCT sample_id, fault FROM run_pairs),
+passed AS (
+    SELECT * FROM trimmed JOIN samples USING (sample_id)
+    WHERE fault NOT IN ({NO_PARTNER}, {NO_FILE})
+      AND {_verdict('seq1', 'qual1')} = 'passed' AND {_verdict('seq2', 'qual2')} = 'passed'),
+cleaned AS (
+    SELECT sample_id, fault, seq1 AS seq FROM passed
+    UNION ALL
+    SELECT sample_id, fault, seq2 FROM passed),
+aligned AS (SELECT sample_id, seq FROM cleaned WHERE fault <> {NO_LETTERS}),
+{_PLACED.strip().replace("FROM mates", "FROM aligned")},
+alignments AS (
+    SELECT sample_id, chrom, CAST(pos0 AS BIGINT) AS pos0, length(aligned.seq) AS span, 0 AS flag
+    FROM aligned JOIN ranked ON ranked.seq = aligned.seq AND ranked.r = 1),
+{_DEPTH.strip()},
+amounts AS (
+    SELECT 'preprocessing' AS stage, sample_id, count(*) AS amount FROM cleaned
+    GROUP BY sample_id
+    UNION ALL SELECT 'alignment', sample_id, count(*) FROM aligned GROUP BY sample_id
+    UNION ALL SELECT 'sam_processing', sample_id, count(*) FROM alignments GROUP BY sample_id
+    UNION ALL SELECT 'coverage', sample_id, sum("end" - "start") FROM depth GROUP BY sample_id),
+ledger AS (
+    SELECT 'preprocessing' AS stage, sample_id,
+           CASE WHEN fault IN ({NO_PARTNER}, {NO_FILE}) THEN 'failed' ELSE 'success' END AS status,
+           CASE fault WHEN {NO_PARTNER} THEN 'read without mate'
+                      WHEN {NO_FILE} THEN 'no file of mate 2' END AS error
+    FROM samples
+    UNION ALL
+    SELECT 'alignment', sample_id,
+           CASE WHEN letterless THEN 'error' ELSE 'success' END,
+           CASE WHEN letterless THEN 'read that is no sequence' END
+    FROM (SELECT sample_id, fault = {NO_LETTERS}
+                 AND sample_id IN (SELECT sample_id FROM passed) AS letterless
+          FROM samples WHERE fault NOT IN ({NO_PARTNER}, {NO_FILE}))
+    UNION ALL
+    SELECT unnest(['sam_processing', 'coverage']), sample_id, 'success', NULL
+    FROM samples
+    WHERE fault NOT IN ({NO_PARTNER}, {NO_FILE})
+      AND NOT (fault = {NO_LETTERS} AND sample_id IN (SELECT sample_id FROM passed)))
+SELECT stage, sample_id, status, error, CAST(coalesce(amount, 0) AS BIGINT) AS amount,
+       CAST(count(*) FILTER (WHERE status = 'success') OVER w AS BIGINT) AS success_count,
+       CAST(count(*) OVER w AS BIGINT) AS total_count, CAST(NULL AS VARCHAR) AS pipeline_type
+FROM ledger LEFT JOIN amounts USING (stage, sample_id) WINDOW w AS (PARTITION BY stage)
+UNION ALL
+SELECT 'run', NULL, 'completed', NULL, NULL, NULL, NULL, 'hybrid'""",
+    "run_pairs",
+    "contigs",
+)

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from strandline import testbed
 from strandline.functions.alignment import depth_class
 from strandline.operators import accounting, alignments, depth, placement, reads
+from strandline.operators.ordering import numbered
+from strandline.plans.run import Run
 from strandline.plans.storage import scratch_path, stored
 from strandline.schemas import ALIGNMENTS
 from strandline.sources import fasta, fastq, manifest, sam, tables
@@ -26,6 +28,7 @@ ALIGNMENT_COLUMNS = (
     "seq",
     "ordinal",
 )
+PLACE = ("sample_id", "chrom", "pos0", "ordinal", "place")
 SEED = 20
 MAX_MISMATCHES = 2
 
@@ -198,6 +201,26 @@ def coordinate_sort_header(spark, sf_dir):
     return alignments.coordinate_sort(_alignments(spark, sf_dir), sizes, "header")
 
 
+# Orders: each record's place
+
+
+@query
+def coordinate_order(spark, sf_dir):
+    return numbered(alignments.coordinate_sort(_alignments(spark, sf_dir))).select(*PLACE)
+
+
+@query
+def coordinate_order_header(spark, sf_dir):
+    sizes = testbed.view(spark, sf_dir, "chrom_sizes")
+    found = alignments.coordinate_sort(_alignments(spark, sf_dir), sizes, "header")
+    return numbered(found).select(*PLACE)
+
+
+@query
+def bed_order(spark, sf_dir):
+    return numbered(depth.bed_sort(_depth(spark, sf_dir)))
+
+
 # Reads
 
 
@@ -476,3 +499,66 @@ def _placed(spark, sf_dir):
     mates, tiles, margin = _placeable(spark, sf_dir, "mates")
     placed = placement.best_placement(mates, tiles, MAX_MISMATCHES, k=SEED, margin=margin)
     return stored(placement.placed_alignments(mates, placed))
+
+
+# Files of paired reads, and a whole run over them
+
+
+@query
+def file_manifest(spark, sf_dir):
+    folder = scratch_path(spark, "input")
+    testbed.write_run_input(spark, sf_dir, folder)
+    paired = manifest.with_sizes_in_mb(manifest.fastq_manifest(spark, f"{folder}/reads"))
+    alone = manifest.fastq_orphans(spark, f"{folder}/reads")
+    found = paired.unionByName(alone, allowMissingColumns=True)
+    names = {
+        f"r{mate}_path": F.regexp_extract(f"r{mate}_path", "[^/]*$", 0) for mate in (1, 2)
+    }
+    return found.withColumns(names)
+
+
+@query
+def run_ledger(spark, sf_dir):
+    folder = scratch_path(spark, "run")
+    testbed.write_run_input(spark, sf_dir, folder)
+    run = Run(spark, f"{folder}/reads", f"{folder}/ref.fa", f"{folder}/ref.fa.fai", f"{folder}/out")
+    run.execute()
+    products = {
+        "preprocessing": run.load("reads_clean"),
+        "alignment": run.load("alignments"),
+        "sam_processing": sam.read_alignment_store(spark, run.path("sorted_alignments")),
+        "coverage": run.load("depth"),
+    }
+    amounts = None
+    for stage, product in products.items():
+        amount = F.sum(F.col("end") - F.col("start")) if stage == "coverage" else F.count("*")
+        each = product.groupBy("sample_id").agg(amount.alias("amount"))
+        each = each.withColumn("stage", F.lit(stage))
+        amounts = each if amounts is None else amounts.unionByName(each)
+    ledger = run.ledger().join(amounts, ["stage", "sample_id"], "left")
+    report = spark.read.json(run.path("reports/run"))
+    counts = report.select("stage", "success_count", "total_count")
+    samples = ledger.join(counts, "stage").select(
+        "stage",
+        "sample_id",
+        "status",
+        F.split("error", ":")[0].alias("error"),
+        F.coalesce("amount", F.lit(0)).alias("amount"),
+        "success_count",
+        "total_count",
+    )
+    whole = report.filter("stage = 'run'").select("stage", "status", "pipeline_type")
+    return samples.unionByName(whole, allowMissingColumns=True)
+
+
+@query
+def json_reports(spark, sf_dir):
+    path = scratch_path(spark, "reports")
+    stats = alignments.alignment_stats(_alignments(spark, sf_dir), 20)
+    tables.write_json(stats, path, by_sample=True)
+    return rounded(
+        spark.read.schema(stats.schema).json(path),
+        "mapping_rate",
+        "filter_rate",
+        "average_mapping_quality",
+    )

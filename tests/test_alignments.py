@@ -159,3 +159,14 @@ def test_accounting(spark):
     assert [r.sample_id for r in accounting.successful(wide, "result").collect()] == ["s1"]
     empty = accounting.with_stage_result(ledger.limit(0), "result", status=F.col("status"))
     assert accounting.successful(empty, "result").count() == 0
+
+
+def test_places_of_a_total_order(spark):
+    from strandline.operators.ordering import numbered
+
+    rows = spark.range(3000, numPartitions=7).selectExpr("id", "(id * 7919) % 3001 AS pos")
+    placed = numbered(rows.orderBy("pos"))
+    found = {row.pos: row.place for row in placed.collect()}
+    assert [found[pos] for pos in sorted(found)] == list(range(1, 3001))
+    nothing = numbered(rows.filter("id < 0").orderBy("pos"))
+    assert nothing.columns == ["id", "pos", "place"] and nothing.isEmpty()
