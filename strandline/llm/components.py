@@ -4,6 +4,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from strandline.plans.storage import discard, scratch_path, stored_at
 
+#: Parts that a node's links are dealt to, by their other end.
+PARTS = 32
+
 
 def components(links: DataFrame) -> DataFrame:
     """Every node of ``links`` with the smallest node that it reaches.
@@ -14,8 +17,9 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round moves every node's links to its smallest neighbour, first those to larger nodes,
     then those to smaller ones (Kiveris et al., "Connected Components in MapReduce and Beyond").
-    Minima are combined before the shuffle and joined back, so that no neighbourhood is gathered
-    in one task. A round is written to the shared folder; only two figures reach the driver.
+    A node's links are dealt to ``PARTS`` parts, each part's minimum is combined before the shuffle,
+    and the least of these goes back to the parts that the node has, so that no task gathers a
+    neighbourhood. A round is written to the shared folder; only two figures reach the driver.
     """
     spark = links.sparkSession
     a, b = (F.col(name) for name in links.columns)
@@ -35,15 +39,31 @@ def components(links: DataFrame) -> DataFrame:
         discard(spark, before)
 
 
+def _dealt(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``edges`` with the part of each, and every ``u`` with its least ``v`` and its parts."""
+    dealt = edges.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(PARTS)))
+    by_part = dealt.groupBy("u", "part").agg(F.min("v").alias("v"))
+    least = by_part.groupBy("u").agg(F.min("v").alias("to"), F.collect_list("part").alias("parts"))
+    return dealt, least
+
+
+def _joined(dealt: DataFrame, least: DataFrame) -> DataFrame:
+    to_parts = least.select("u", "to", F.explode("parts").alias("part"))
+    return dealt.join(to_parts, ["u", "part"])
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours are linked to its smallest one, or to itself."""
-    both = edges.union(edges.select("v", "u"))
-    least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("to"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("to").alias("v"))
+    dealt, least = _dealt(edges.union(edges.select("v", "u")))
+    least = least.withColumn("to", F.least("u", "to"))
+    return _joined(dealt.filter("v > u"), least).select(
+        F.col("v").alias("u"), F.col("to").alias("v")
+    )
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are linked to the smallest of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("to"))
-    moved = edges.join(least, "u").filter("v > to").select(F.col("v").alias("u"), F.col("to").alias("v"))
+    dealt, least = _dealt(edges)
+    moved = _joined(dealt, least).filter("v > to")
+    moved = moved.select(F.col("v").alias("u"), F.col("to").alias("v"))
     return moved.union(least.select("u", F.col("to").alias("v"))).distinct()

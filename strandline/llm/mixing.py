@@ -80,13 +80,20 @@ def copies(
     an empty table gives an empty one.
 
     The sums are made at three levels: over a source's size classes, over a class's runs, dealt
-    by a hash of the id, and within a run of about ``run`` documents at most, so that no task
-    has a whole source.
+    by a hash of id and text, and within a run of about ``run`` documents at most, so that no task
+    has a whole source, nor all documents without an id. Only rows of one id and one text share
+    a run.
     """
-    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^ \t-\r]+"))
+    text = F.coalesce("text", F.lit(""))
+    size = F.regexp_count(text, F.lit(r"[^ \t-\r]+"))
+    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"), F.md5(text))
     rows = stored(
         docs.select(
-            "doc_id", "source", row_hash(docs).alias("row_hash"), size.cast("long").alias("size")
+            "doc_id",
+            "source",
+            row_hash(docs).alias("row_hash"),
+            size.cast("long").alias("size"),
+            _hash(name).alias("deal"),
         ),
         "sizes",
     )
@@ -98,7 +105,7 @@ def copies(
     placed = rows.withColumns(
         {
             "class": F.floor(F.log(F.col("size") + 1.0) * _CLASSES),
-            "run": _hash(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % runs,
+            "run": F.col("deal") % runs,
         }
     )
     by_run = placed.groupBy("source", "class", "run").agg(F.count("*").alias("n"))

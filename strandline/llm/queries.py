@@ -110,7 +110,8 @@ def op5_mixing(spark, sf_dir):
 ORACLE["op5_mixing"] = r"""
     WITH sizes AS (
         SELECT doc_id, source,
-               CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+')) AS BIGINT) AS size
+               CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+')) AS BIGINT) AS size,
+               md5(coalesce(CAST(doc_id AS VARCHAR), '') || '/' || md5(coalesce(text, ''))) AS deal
         FROM documents),
     sources AS (
         SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -140,8 +141,7 @@ ORACLE["op5_mixing"] = r"""
                row_number() OVER (
                    PARTITION BY s.source
                    ORDER BY floor(ln(size + 1.0::DOUBLE) * 17.0::DOUBLE),
-                            CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8)
-                                 AS BIGINT)
+                            CAST('0x' || substr(deal, 1, 8) AS BIGINT)
                                 % (SELECT greatest(1, CAST(ceil(count(*) / 20000.0) AS BIGINT))
                                    FROM sizes),
                             size, doc_id NULLS FIRST) AS nth
