@@ -125,6 +125,21 @@ def test_components(spark):
     assert {root[i] for i in range(100, 160)} == {100}
 
 
+def test_components_of_a_hub(spark):
+    from strandline.llm.components import PARTS, _dealt
+
+    # a hub that isn't the smallest of its component, with most links of all
+    pairs = [(5000, i) for i in range(1, 4000)] + [(6000 + i, 7000 + i) for i in range(50)]
+    links = spark.createDataFrame(pairs, "u long, v long")
+    found = {row.node: row.root for row in components(links).collect()}
+    assert {found[i] for i in (*range(1, 4000), 5000)} == {1}
+    assert all(found[7000 + i] == found[6000 + i] == 6000 + i for i in range(50))
+    dealt, least = _dealt(links)
+    sizes = [row["count"] for row in dealt.filter("u = 5000").groupBy("part").count().collect()]
+    assert len(sizes) == PARTS and max(sizes) < 2 * 4000 / PARTS
+    assert least.filter("u = 5000 and to = 1").count() == 1
+
+
 def test_mixing(spark, odd, odd_rows, empty):
     found = copies(odd, run=5)
     taken = found.withColumn("taken", F.col("copies") * F.col("size"))
@@ -147,6 +162,16 @@ def test_mixing(spark, odd, odd_rows, empty):
     assert copies(empty).count() == 0 and mixed(empty).count() == 0
 
 
+def test_mixing_of_rows_without_an_id(spark):
+    rows = [(None, f"word {i} of", "s") for i in range(400)] + [(1, "some more", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = copies(docs, run=20).collect()
+    taken = sum(row.copies * row.size for row in found if row.source == "s")
+    target = next(row.target for row in found if row.source == "s")
+    assert len(found) == 401 and abs(taken - target) <= 6
+    assert max(row.copies for row in found) <= 2
+
+
 def test_mixing_against_sql(spark, odd):
     rows = odd.select("doc_id", "text", "source").filter("doc_id <> 5")
     database = duckdb.connect()
