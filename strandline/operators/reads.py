@@ -1,7 +1,5 @@
 """Read records: quality control, filtering, trimming, mate pairs."""
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandline.functions import cycles, sequence as S
@@ -72,32 +70,17 @@ def filter_reasons(reads: DataFrame, **limits) -> DataFrame:
 
 def tail_trim(reads: DataFrame, window: int = 4, threshold: int = 20) -> DataFrame:
     """Cut each read where a sliding window first falls below a mean quality."""
-    scores = F.col("_scores")
-    # Consecutive scores are added one by one: building a slice for each window
-    # costs ten times as much.
-    bad = F.transform(
-        F.sequence(F.lit(0), F.size(scores) - window),
-        lambda start: reduce(
-            Column.__add__, [F.get(scores, start + i) for i in range(window)]
-        )
-        < threshold * window,
-    )
-    first_bad = F.when(F.size(scores) >= window, F.array_position(bad, True)).otherwise(
-        0
-    )
-    kept = (F.col("_first_bad") - 1).cast("int")
-    cut = F.col("_first_bad") > 0
+    low = cycles.first_low_window(window, (threshold + S.PHRED_OFFSET) * window)
+    kept, cut = F.col("_kept"), F.col("_kept").isNotNull()
     return (
-        reads.withColumn("_scores", S.phred(F.col("qual")))
-        .withColumn("_first_bad", first_bad)
-        .withColumn(
-            "seq", F.when(cut, F.substring("seq", F.lit(1), kept)).otherwise(F.col("seq"))
-        )
-        .withColumn(
-            "qual",
-            F.when(cut, F.substring("qual", F.lit(1), kept)).otherwise(F.col("qual")),
+        reads.withColumn("_kept", low("qual"))
+        .withColumns(
+            {
+                name: F.when(cut, F.substring(name, F.lit(1), kept)).otherwise(F.col(name))
+                for name in ("seq", "qual")
+            }
         )
-        .drop("_scores", "_first_bad")
+        .drop("_kept")
     )
 
 

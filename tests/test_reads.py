@@ -56,6 +56,7 @@ def test_tail_trim(spark):
         ("ACGTACGTAC", "##########"),
         ("ACG", "###"),
         ("", ""),
+        ("ACGTACGTAC", "5555544444"),
     )
     found = [
         (r.seq, r.qual) for r in R.tail_trim(frame).orderBy("read_id").collect()
@@ -70,6 +71,8 @@ def test_tail_trim(spark):
 
     given = [(r.seq, r.qual) for r in frame.orderBy("read_id").collect()]
     assert found == [trimmed(*pair) for pair in given]
+    nothing = frame.limit(1).withColumn("qual", F.lit(None).cast("string"))
+    assert R.tail_trim(nothing).select("seq", "qual").first() == ("ACGTACGTAC", None)
 
 
 def brute_overlap(a, b):
