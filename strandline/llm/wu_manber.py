@@ -55,6 +55,30 @@ def _block(hashes: np.ndarray, last: np.ndarray, size: int) -> np.ndarray:
     return mixed(out)
 
 
+def _same(
+    one: "Words | Searcher",
+    first: np.ndarray,
+    other: "Words | Searcher",
+    others: np.ndarray,
+    size: int,
+) -> np.ndarray:
+    """Whether the ``size`` words from ``first`` are those of ``other`` from ``others``."""
+    same = np.ones(len(first), bool)
+    for nth in range(size):
+        theirs, ours = first + nth, others + nth
+        width = one.ends[theirs] - one.begins[theirs]
+        same &= width == other.ends[ours] - other.begins[ours]
+        i = np.flatnonzero(same)
+        if not len(i):
+            break
+        differs = one.data[ragged(one.begins[theirs[i]], width[i])] != other.data[
+            ragged(other.begins[ours[i]], width[i])
+        ]
+        heads = np.cumsum(width[i]) - width[i]
+        same[i] = ~np.logical_or.reduceat(differs, heads)
+    return same
+
+
 class Searcher:
     """All distinct windows of ``size`` words of some items, ready to be searched for."""
 
@@ -65,7 +89,10 @@ class Searcher:
         whole = _block(words.hashes, firsts + size - 1, size)
         order = np.argsort(whole, kind="stable")
         new = np.ones(len(order), bool)
+        # neighbours in this order are one pattern if their words are equal, not only their hashes
         new[1:] = whole[order][1:] != whole[order][:-1]
+        twin = np.flatnonzero(~new)
+        new[twin] = ~_same(words, firsts[order[twin]], words, firsts[order[twin - 1]], size)
         pattern = np.cumsum(new) - 1
         self.whole = whole[order][new]
         self.first = firsts[order][new]
@@ -103,7 +130,7 @@ class Searcher:
         last = np.repeat(last, sizes)
         likely = _block(words.hashes, last, self.size) == self.whole[pattern]
         first, pattern = last[likely] - self.size + 1, pattern[likely]
-        same = self._same(words, first, pattern)
+        same = _same(words, first, self, self.first[pattern], self.size)
         return first[same], pattern[same]
 
     def _candidates(self, words: Words) -> np.ndarray:
@@ -122,23 +149,6 @@ class Searcher:
             at, stop = at[left], stop[left]
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
-    def _same(self, words: Words, first: np.ndarray, pattern: np.ndarray) -> np.ndarray:
-        """Whether the words themselves are equal, not only their hashes."""
-        same = np.ones(len(first), bool)
-        for nth in range(self.size):
-            theirs, ours = first + nth, self.first[pattern] + nth
-            width = words.ends[theirs] - words.begins[theirs]
-            same &= width == self.ends[ours] - self.begins[ours]
-            i = np.flatnonzero(same)
-            if not len(i):
-                break
-            differs = words.data[ragged(words.begins[theirs[i]], width[i])] != self.data[
-                ragged(self.begins[ours[i]], width[i])
-            ]
-            heads = np.cumsum(width[i]) - width[i]
-            same[i] = ~np.logical_or.reduceat(differs, heads)
-        return same
-
 
 def searchers(words: Words, window: int) -> list[Searcher]:
     """One searcher for the windows of ``window`` words, and one for each length of the items
