@@ -673,6 +673,10 @@ ORACLE["file_manifest"] = with_views(
     "run_mates",
 )
 
+ORACLE["fastq_format"] = with_views(
+    "SELECT *, CAST(NULL AS VARCHAR) AS error FROM run_mates WHERE mate = 2", "run_mates"
+)
+
 # Samples leave the run where their fault shows; what is left is cleaned, placed and covered.
 ORACLE["run_ledger"] = with_views(
     f""",

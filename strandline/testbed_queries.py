@@ -11,7 +11,7 @@ from strandline.operators.ordering import numbered
 from strandline.plans.run import Run
 from strandline.plans.storage import scratch_path, stored
 from strandline.schemas import ALIGNMENTS
-from strandline.sources import fasta, fastq, manifest, sam, tables
+from strandline.sources import fasta, fastq, fastq_source, manifest, sam, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -517,6 +517,15 @@ def file_manifest(spark, sf_dir):
     return found.withColumns(names)
 
 
+@query
+def fastq_format(spark, sf_dir):
+    folder = scratch_path(spark, "input")
+    testbed.write_run_input(spark, sf_dir, folder)
+    fastq_source.register(spark)
+    found = spark.read.format("fastq").option("split_bytes", 1 << 20).load(f"{folder}/reads")
+    return found.filter("mate = 2").drop("ordinal")
+
+
 @query
 def run_ledger(spark, sf_dir):
     folder = scratch_path(spark, "run")

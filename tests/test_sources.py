@@ -34,7 +34,7 @@ def fastq_text(records, newline="\n"):
 
 
 def read_ranges(path, size, split, block):
-    reader = fastq._range_reader(block)
+    reader = fastq.range_reader(block)
     ranges = [
         {"sample_id": "s", "mate": 1, "path": str(path), "start": at, "end": at + split}
         for at in range(0, max(size, 1), split)
@@ -338,3 +338,37 @@ def test_json_reports(spark, tmp_path):
     tables.write_json(stats, str(tmp_path / "j"), by_sample=True)
     row = spark.read.schema(stats.schema).json(str(tmp_path / "j")).first()
     assert (row.sample_id, row.total_regions, row.mean_coverage) == ("s", 1, 2.0)
+
+
+def test_fastq_as_a_data_source(spark, tmp_path):
+    from strandline.sources import fastq_source
+
+    record = "@{0}.{1}/{2} note\nACGTN\n+\n@II#I\n"
+    for sample, mate, count in (("A", 1, 40), ("A", 2, 40), ("S_1", 1, 25)):
+        text = "".join(record.format(sample, i, mate) for i in range(count))
+        (tmp_path / f"{sample}_{mate}.fastq").write_text(text)
+    with gzip.open(tmp_path / "Z_2.fastq.gz", "wt") as out:
+        out.write(record.format("Z", 0, 2) + "@cut\nAC\n")
+    (tmp_path / "E_1.fastq").write_text("")
+    (tmp_path / "notes.txt").write_text("@x\nA\n+\nI\n")
+    fastq_source.register(spark)
+    found = spark.read.format("fastq").option("split_bytes", 64).load(f"file://{tmp_path}")
+    files = spark.createDataFrame(
+        [
+            (sample, mate, str(path), path.stat().st_size)
+            for sample, mate, path in (
+                ("A", 1, tmp_path / "A_1.fastq"),
+                ("A", 2, tmp_path / "A_2.fastq"),
+                ("S_1", 1, tmp_path / "S_1_1.fastq"),
+                ("Z", 2, tmp_path / "Z_2.fastq.gz"),
+            )
+        ],
+        "sample_id string, mate byte, path string, bytes long",
+    )
+    want = fastq.read_fastq(files, 64)
+    assert found.schema == want.schema
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+    chosen = found.filter("sample_id = 'S_1' and mate = 1 and length(seq) = 5")
+    assert chosen.count() == 25
+    size = (tmp_path / "S_1_1.fastq").stat().st_size
+    assert chosen.rdd.getNumPartitions() == -(-size // 64)
