@@ -219,3 +219,19 @@ def test_cycle_profile_of_uneven_reads(spark):
     none = found[None, 1]
     assert (none.bases, none.n_bases, none.quality_sum, none.mean_quality) == (1, 1, None, None)
     assert R.cycle_profile(frame.limit(0)).count() == 0
+
+
+def test_filter_on_the_overlap_stays_above_the_search(spark):
+    """A filter on what the search finds is no second search over rows that hold whole texts."""
+    whole = spark.createDataFrame([("s", "ACGTTGCAAC" * 40)], "sample_id string, whole string")
+    pairs = whole.selectExpr(
+        "sample_id",
+        "substr(whole, 1, 60) as seq1",
+        "reverse(translate(substr(whole, 21, 60), 'ACGT', 'TGCA')) as seq2",
+    )
+    sizes = R.insert_sizes(R.find_overlap(pairs))
+    plan = sizes._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    below = plan[plan.index("ArrowEvalPython") :].splitlines()[1]
+    assert "AS seq1" in below and "AS seq2" in below
+    assert [tuple(row) for row in sizes.collect()] == [("s", 60, 1)]
