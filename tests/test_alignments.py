@@ -170,3 +170,20 @@ def test_places_of_a_total_order(spark):
     assert [found[pos] for pos in sorted(found)] == list(range(1, 3001))
     nothing = numbered(rows.filter("id < 0").orderBy("pos"))
     assert nothing.columns == ["id", "pos", "place"] and nothing.isEmpty()
+
+
+def test_header_order_deals_no_contig_to_one_task(spark):
+    """Whatever the header's estimated size, records are not moved by contig."""
+    records = spark.range(400).selectExpr(
+        "'s' as sample_id", "id as ordinal", "if(id % 2 = 0, 'b', 'a') as chrom", "id as pos0"
+    )
+    sizes = spark.createDataFrame([("b", 0), ("a", 1)], "chrom string, chrom_idx long")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = A.coordinate_sort(records, sizes, "header")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(chrom" not in plan
+        assert [row.chrom for row in found.collect()] == ["b"] * 200 + ["a"] * 200
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
