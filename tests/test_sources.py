@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from strandline import testbed
 from strandline.operators import depth as D
 from strandline.operators.placement import reference_tiles
 from strandline.sources import fasta, fastq, manifest, sam, tables
@@ -372,3 +373,28 @@ def test_fastq_as_a_data_source(spark, tmp_path):
     assert chosen.count() == 25
     size = (tmp_path / "S_1_1.fastq").stat().st_size
     assert chosen.rdd.getNumPartitions() == -(-size // 64)
+
+
+def test_reference_of_a_run_is_written_in_parts(spark, tmp_path):
+    """No task writes the whole reference; tiles are read across its parts as from one file."""
+    source = "/root/testdata/sf0.001"
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    usual = spark.conf.get(name)
+    spark.conf.set(name, "false")  # which would join parts as small as these
+    try:
+        testbed.write_run_input(spark, source, str(tmp_path))
+    finally:
+        spark.conf.set(name, usual)
+    parts = [p for p in (tmp_path / "ref.fa").glob("part-*") if p.stat().st_size]
+    assert len(parts) > 1
+    whole = sum(p.stat().st_size for p in parts)
+    assert max(p.stat().st_size for p in parts) < whole / 2
+    ranged = fasta.read_fasta_tiles(
+        spark, str(tmp_path / "ref.fa"), str(tmp_path / "ref.fa.fai"), 512, 20, tiles_per_task=40
+    )
+    tiles = reference_tiles(testbed.view(spark, source, "contigs"), 512, 20)
+
+    def content(found):
+        return sorted((r.chrom, r.tile, r.context_start, bytes(r.context)) for r in found.collect())
+
+    assert content(ranged) == content(tiles)
