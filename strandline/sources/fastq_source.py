@@ -13,13 +13,18 @@ from strandline.sources.files import list_files
 from strandline.sources.manifest import MATE_FILE
 
 
-class FastqRange(InputPartition):
-    """A byte range of one file; ``end`` is None for a gzipped file, which is one range."""
+#: A range counts as so many bytes at least, for the opening of its file.
+OPEN_BYTES = 64 << 10
 
-    def __init__(self, sample_id: str, mate: int, path: str, start: int, end: int | None):
-        self.sample_id, self.mate, self.path, self.start, self.end = (
-            sample_id, mate, path, start, end,
-        )
+
+class FastqRanges(InputPartition):
+    """Byte ranges of files that one task reads, in a row.
+
+    A range's ``end`` is None for a gzipped file, which is one range.
+    """
+
+    def __init__(self, ranges: list[dict]):
+        self.ranges = ranges
 
 
 class FastqReader(DataSourceReader):
@@ -38,23 +43,30 @@ class FastqReader(DataSourceReader):
             name = each.attribute[0]
             self.wanted[name] = self.wanted.get(name, values) & values
 
-    def partitions(self) -> list[FastqRange]:
-        ranges = []
+    def partitions(self) -> list[FastqRanges]:
+        """Ranges of all files; small ones share a task, up to ``split_bytes`` together."""
+        found, own, filled = [], [], 0
         for path, size in list_files(self.folder):
             named = re.fullmatch(MATE_FILE, path.rsplit("/", 1)[-1])
             if not named:
                 continue
-            own = {"sample_id": named[1], "mate": int(named[2])}
-            if any(own[name] not in values for name, values in self.wanted.items()):
+            names = {"sample_id": named[1], "mate": int(named[2])}
+            if any(names[name] not in values for name, values in self.wanted.items()):
                 continue
             step = max(size, 1) if named[3] else self.split_bytes
             for start in range(0, max(size, 1), step):
                 end = None if named[3] else start + step
-                ranges.append(FastqRange(own["sample_id"], own["mate"], path, start, end))
-        return ranges
-
-    def read(self, partition: FastqRange) -> Iterator[pa.RecordBatch]:
-        yield from range_reader(BLOCK_BYTES)([pa.RecordBatch.from_pylist([vars(partition)])])
+                cost = max(min(step, size - start), OPEN_BYTES)
+                if own and filled + cost > self.split_bytes:
+                    found.append(FastqRanges(own))
+                    own, filled = [], 0
+                own.append({**names, "path": path, "start": start, "end": end})
+                filled += cost
+        return [*found, FastqRanges(own)] if own else found
+
+    def read(self, partition: FastqRanges) -> Iterator[pa.RecordBatch]:
+        for each in partition.ranges:
+            yield from range_reader(BLOCK_BYTES)([pa.RecordBatch.from_pylist([each])])
 
 
 class FastqSource(DataSource):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandline import testbed
 from strandline.operators import depth as D
 from strandline.operators.placement import reference_tiles
-from strandline.sources import fasta, fastq, manifest, sam, tables
+from strandline.sources import fasta, fastq, fastq_source, manifest, sam, tables
 
 
 def fastq_records(seed, count=60):
@@ -398,3 +398,17 @@ def test_reference_of_a_run_is_written_in_parts(spark, tmp_path):
         return sorted((r.chrom, r.tile, r.context_start, bytes(r.context)) for r in found.collect())
 
     assert content(ranged) == content(tiles)
+
+
+def test_small_fastq_files_share_a_task(spark, tmp_path):
+    """Tasks follow the bytes, not the files; every file is read."""
+    for i in range(40):
+        (tmp_path / f"s{i}_1.fastq").write_text(fastq_text(fastq_records(i, 5)))
+    fastq_source.register(spark)
+    found = spark.read.format("fastq").option("split_bytes", 1 << 20).load(str(tmp_path))
+    assert found.rdd.getNumPartitions() == 3
+    counts = found.filter("error is null").groupBy("sample_id").count().collect()
+    assert sorted(tuple(r) for r in counts) == sorted((f"s{i}", 5) for i in range(40))
+    apart = spark.read.format("fastq").option("split_bytes", 1 << 10).load(str(tmp_path))
+    assert apart.rdd.getNumPartitions() >= 40
+    assert apart.count() == found.count() == 200
