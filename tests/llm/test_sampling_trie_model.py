@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import ITEM_WORD, LOWER, WORD
 from pyspark.sql import functions as F
@@ -284,3 +285,32 @@ def test_ids_of_any_kind(spark):
     found = importance(docs, docs.limit(2), percent=20, pivots=2)
     assert found.filter("rank is not null").count() == 5  # of 29 with 20 words
     assert L.language_model(docs).select(F.countDistinct("doc_id")).first()[0] == 30
+
+
+def test_candidates_are_counted_without_sorting_rows(monkeypatch):
+    """Counts by hash are added up in place, and n-grams are counted with their histories."""
+    words = [f"w{i}" for i in range(12)]
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(30)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    known = [np.unique(np.append(L.word_keys(pa.array(words, pa.large_string())), L._END))]
+    grams, histories = L._candidates(L._Tokens.of(batch.column("text").cast(pa.large_string())), known)
+    counts, before = Counter(grams.tolist()), dict(zip(grams.tolist(), histories.tolist()))
+    monkeypatch.setattr(L.np, "unique", None)
+    slices = list(L._sketcher(known, 1 << 10)(iter([batch])))
+    sums = np.concatenate(
+        [
+            np.frombuffer(s.column("counts")[0].as_py(), np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel()
+            for s in slices
+        ]
+    )
+    by_hash = Counter()
+    for gram, n in counts.items():
+        by_hash[gram % (1 << 10)] += n
+    assert {i: n for i, n in enumerate(sums.tolist()) if n} == dict(by_hash)
+    (found,) = L._gram_counter(known, np.ones(1 << 10, bool))(iter([batch]))
+    rows = {
+        key % (1 << 64): (history % (1 << 64), n)
+        for key, history, n in zip(*(found.column(c).to_pylist() for c in ("key", "history", "n")))
+    }
+    assert rows == {gram: (before[gram], n) for gram, n in counts.items()}
