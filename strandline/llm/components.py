@@ -48,8 +48,9 @@ def _dealt(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _joined(dealt: DataFrame, least: DataFrame) -> DataFrame:
+    """``dealt`` with ``to``. Not by broadcast: Spark counts ``to_parts`` as it is before the explode."""
     to_parts = least.select("u", "to", F.explode("parts").alias("part"))
-    return dealt.join(to_parts, ["u", "part"])
+    return dealt.hint("merge").join(to_parts, ["u", "part"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

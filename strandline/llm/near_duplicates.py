@@ -160,6 +160,9 @@ def links(prints: DataFrame, crowded: int = CROWDED) -> DataFrame:
     that meet there are instead grouped by the words within two bits of them: two are linked
     if and only if they have such a word in common, and no word has more than 2,081
     fingerprints, so the work stays in proportion however many there are.
+
+    Spark takes replicas and homes for no larger than ``prints``, so the join that they meet in
+    is told not to broadcast either.
     """
     home = prints.mapInArrow(_at_home, "anchor int, bits long")
     homes = home.groupBy("anchor").agg(F.count("*").alias("n"))
@@ -173,7 +176,8 @@ def links(prints: DataFrame, crowded: int = CROWDED) -> DataFrame:
     own = F.col("bits")
     near = F.filter("home", lambda x: (x < own) & (F.bit_count(x.bitwiseXOR(own)) <= THRESHOLD))
     met = (
-        replicas.join(few, "anchor")
+        replicas.hint("merge")
+        .join(few, "anchor")
         .select("bits", near.alias("near"))
         .filter(F.size("near") > 0)
         .select(F.explode("near").alias("a"), F.col("bits").alias("b"))

@@ -12,7 +12,7 @@ from brute import fingerprint, groups, remaining, statistics
 from pyspark.sql import functions as F
 
 from strandline.llm import suffix_dedup
-from strandline.llm.components import components
+from strandline.llm.components import _dealt, _joined, components
 from strandline.llm.decontamination import contamination, without_contamination
 from strandline.llm.language import in_known_languages, languages
 from strandline.llm.mixing import copies, mixed
@@ -382,3 +382,17 @@ def test_toxicity(spark, odd, odd_rows, empty):
     assert not found.filter("predicted <> cast(score >= 0.3 as int)").count()
     assert {row.score for row in toxicity(odd, labels.filter("toxic = 0")).collect()} == {0.0}
     assert toxicity(empty, labels).count() == 0
+
+
+def test_what_grows_within_a_task_is_not_broadcast(spark):
+    """Replicas and links by part are many more than Spark takes them for."""
+
+    def inner_broadcasts(frame):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+        return [line for line in joins if "Inner" in line]
+
+    prints = spark.range(40).select(F.col("id").alias("bits"))  # Spark knows how few these are
+    assert inner_broadcasts(links(prints)) == []
+    dealt, least = _dealt(spark.range(40).select(F.col("id").alias("u"), (-F.col("id")).alias("v")))
+    assert inner_broadcasts(_joined(dealt, least)) == []
