@@ -314,3 +314,43 @@ def test_candidates_are_counted_without_sorting_rows(monkeypatch):
         for key, history, n in zip(*(found.column(c).to_pylist() for c in ("key", "history", "n")))
     }
     assert rows == {gram: (before[gram], n) for gram, n in counts.items()}
+
+
+@pytest.mark.parametrize("order, hot", [(3, 256), (3, 20), (2, 8), (1, 256), (4, 30)])
+def test_whole_language_model(spark, odd, odd_rows, order, hot, monkeypatch):
+    """Every n-gram is held, of a corpus in which most are rarer than one in 2^20 of a larger one."""
+    monkeypatch.setattr(L, "_BITS", 400)
+    monkeypatch.setattr(L, "_PIECE", 5_000)
+
+    def out(doc):
+        return zlib.crc32(("" if doc is None else str(doc)).encode()) % 10 == 0
+
+    monkeypatch.setattr(L, "HOT", hot)
+    training = [row[1] for row in odd_rows if not out(row[0])]
+    single, n, v, score = plain_model(training, order, 1)
+    found = L.language_model(odd.repartition(3), order=order).collect()
+    assert len(found) == len(odd_rows)
+    want = defaultdict(list)
+    for doc, text, *_ in odd_rows:
+        base = sum(math.log10((single[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens_of(text))
+        known = sum(single[w] > 0 for w in tokens_of(text))
+        want[doc].append((out(doc), len(tokens_of(text)), known, n, base, score(text)))
+    for doc, rows in want.items():
+        own = [tuple(r)[1:] for r in found if r.doc_id == doc]
+        for a, b in zip(sorted(own), sorted(rows)):
+            assert a[:4] == b[:4]
+            assert a[4:] == pytest.approx(b[4:], rel=1e-9)
+
+
+def test_rare_n_grams_of_a_large_corpus_count(spark):
+    """Texts that occur twice among very many others are told from texts that occur once."""
+    rng = random.Random(7)
+    texts = [" ".join(f"w{rng.randrange(400)}" for _ in range(60)) for _ in range(300)]
+    rows = [(i, text) for i, text in enumerate(texts)] + [(1000 + i, texts[i]) for i in range(0, 300, 3)]
+    common = " ".join(["often"] * 12_000)
+    rows += [(5000 + i, common) for i in range(300)]  # so that 2 is below one 2^20-th of all tokens
+    found = L.language_model(spark.createDataFrame(rows, "doc_id long, text string"))
+    twice = {i for i in range(0, 300, 3) if not any(zlib.crc32(str(x).encode()) % 10 == 0 for x in (i, 1000 + i))}
+    once = {i for i in range(300) if i % 3 and zlib.crc32(str(i).encode()) % 10}
+    score = {r.doc_id: r.score / r.n_tokens for r in found.filter("doc_id < 300").collect()}
+    assert min(score[i] for i in twice) > max(score[i] for i in once)
