@@ -412,3 +412,39 @@ def test_small_fastq_files_share_a_task(spark, tmp_path):
     apart = spark.read.format("fastq").option("split_bytes", 1 << 10).load(str(tmp_path))
     assert apart.rdd.getNumPartitions() >= 40
     assert apart.count() == found.count() == 200
+
+
+def test_files_of_a_run_are_written_by_tasks(spark, tmp_path, monkeypatch):
+    """No folder a file, and no renaming by the driver, for which many files took most of the time."""
+    source, moved = "/root/testdata/sf0.001", []
+    move = testbed._move
+    monkeypatch.setattr(testbed, "_move", lambda s, pattern, *a: moved.append(pattern) or move(s, pattern, *a))
+    testbed.write_run_input(spark, source, str(tmp_path))
+    assert [pattern for pattern in moved if "reads" in pattern] == []
+    assert not list(tmp_path.glob("parts/reads/*"))  # nothing is left of attempts
+    want = {}
+    rows = testbed.view(spark, source, "run_mates").collect()
+    for row in sorted(rows, key=lambda r: r.read_id.encode()):
+        lines = want.setdefault(f"{row.sample_id}_{row.mate}.fastq", [])
+        lines.append(f"@{row.read_id}\n{row.seq}\n+\n{row.qual}\n")
+    found = {p.name: p.read_text() for p in (tmp_path / "reads").glob("*.fastq")}
+    assert found == {name: "".join(lines) for name, lines in want.items()}
+
+
+def test_lines_are_written_to_the_file_of_each_run_of_rows(tmp_path):
+    import pyarrow as pa
+
+    from strandline.sources.files import lines_writer
+
+    def batch(*rows):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["file", "value"])
+
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out" / "a").write_text("of an attempt before")
+    batches = [batch(("a", "1"), ("a", "é")), batch(("a", ""), ("b", "2\n3")), batch(("c", "4"))]
+    done = list(lines_writer(f"file:{tmp_path}/out", f"{tmp_path}/scratch")(iter(batches)))
+    sizes = {r["file"]: r["bytes"] for b in done for r in b.to_pylist()}
+    found = {p.name: p.read_text() for p in (tmp_path / "out").iterdir()}
+    assert found == {"a": "1\né\n\n", "b": "2\n3\n", "c": "4\n"}
+    assert sizes == {name: len(text.encode()) for name, text in found.items()}
+    assert not list((tmp_path / "scratch").iterdir())
