@@ -448,3 +448,28 @@ def test_lines_are_written_to_the_file_of_each_run_of_rows(tmp_path):
     assert found == {"a": "1\né\n\n", "b": "2\n3\n", "c": "4\n"}
     assert sizes == {name: len(text.encode()) for name, text in found.items()}
     assert not list((tmp_path / "scratch").iterdir())
+
+
+def test_names_of_many_files_are_read_in_few_tasks(spark, tmp_path):
+    for i in range(60):
+        for mate in (1, 2)[: 1 + (i > 0)]:
+            (tmp_path / f"s{i}_{mate}.fastq").write_text("@r\nA\n+\nI\n" * (i + 1))
+    name = "spark.sql.files.maxPartitionBytes"
+    usual = spark.conf.get(name)
+    spark.conf.set(name, "1m")
+    try:
+        adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        found = manifest.fastq_manifest(spark, str(tmp_path))
+        ran = spark.sparkContext.statusTracker()
+        spark.sparkContext.setJobGroup("names", "names")
+        rows = found.collect()
+        stages = [s for job in ran.getJobIdsForGroup("names") for s in ran.getJobInfo(job).stageIds]
+        tasks = [info.numTasks for info in map(ran.getStageInfo, stages) if info]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set(name, usual)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {r.sample_id: r.r2_bytes for r in rows} == {f"s{i}": 9 * (i + 1) for i in range(1, 60)}
+    assert tasks and max(tasks) <= 8
+    assert [r.sample_id for r in manifest.fastq_orphans(spark, str(tmp_path)).collect()] == ["s0"]
