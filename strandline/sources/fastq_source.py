@@ -8,15 +8,11 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 from strandline.schemas import READS
-from strandline.sources.fastq import BLOCK_BYTES, SPLIT_BYTES, range_reader
+from strandline.sources.fastq import BLOCK_BYTES, OPEN_BYTES, SPLIT_BYTES, range_reader
 from strandline.sources.files import list_files
 from strandline.sources.manifest import MATE_FILE
 
 
-#: A range counts as so many bytes at least, for the opening of its file.
-OPEN_BYTES = 64 << 10
-
-
 class FastqRanges(InputPartition):
     """Byte ranges of files that one task reads, in a row.
 

@@ -473,3 +473,33 @@ def test_names_of_many_files_are_read_in_few_tasks(spark, tmp_path):
     assert {r.sample_id: r.r2_bytes for r in rows} == {f"s{i}": 9 * (i + 1) for i in range(1, 60)}
     assert tasks and max(tasks) <= 8
     assert [r.sample_id for r in manifest.fastq_orphans(spark, str(tmp_path)).collect()] == ["s0"]
+
+
+def test_small_files_of_a_run_share_tasks(spark, tmp_path):
+    rows = []
+    for i in range(40):
+        path = tmp_path / f"s{i}_1.fastq"
+        path.write_text(fastq_text(fastq_records(i, 5)))
+        rows.append((f"s{i}", 1, str(path), path.stat().st_size))
+    files = spark.createDataFrame(rows, "sample_id string, mate byte, path string, bytes long")
+    found = fastq.read_fastq(files)
+    assert found.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+    assert fastq.read_fastq(files.limit(3)).rdd.getNumPartitions() == 3
+    counts = found.filter("error is null").groupBy("sample_id").count().collect()
+    assert sorted(tuple(r) for r in counts) == sorted((f"s{i}", 5) for i in range(40))
+
+
+def test_signal_of_many_contigs_is_few_files(spark, tmp_path):
+    rows = [("s", f"c{c}", level, b, b * 10, 1.0) for c in range(50) for level in (0, 1) for b in range(3)]
+    signal = spark.createDataFrame(
+        rows, "sample_id string, chrom string, level int, bin_start long, bin_end long, mean double"
+    )
+    tables.write_signal(signal, str(tmp_path / "signal"))
+    assert len(list((tmp_path / "signal").rglob("part-*.parquet"))) < 20
+    found = spark.read.parquet(str(tmp_path / "signal"))
+    assert sorted(map(tuple, found.select(*signal.columns).collect())) == sorted(rows)
+    one = found.filter("chrom = 'c7' and level = 1")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(chrom,c7)" in plan.split("PushedFilters")[1]
+    assert "level" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    assert one.count() == 3
